@@ -24,6 +24,16 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: Shards and slots of op2_shard: slots are a prime of over sixty times the shards.
+SHARDS, SLOTS = 64, 4099
+
+
+def op2_shard(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.sharding import place
+
+    return place(table(spark, folder, "documents").select("doc_id"), "doc_id", [f"shard-{i:05d}" for i in range(SHARDS)], SLOTS)
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.token_counts import n_tokens, token_counts
 
@@ -32,9 +42,32 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", n_tokens().alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.language import held_out, predict, train
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.where(~F.col("held_out")))
+    return predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm import token_files
+
+    files = token_files.write(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path(), 0)
+    return token_files.read(spark, files, ids=False).withColumnRenamed("key", "doc_id")
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprints_of_edits
+
+    return fingerprints_of_edits(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op5_token_counts)}
+    return {f.__name__: f for f in (op1_pack, op2_shard, op5_token_counts, op6_language, op7_token_files, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import sharding
+
+    return {"op2_shard": sharding.oracle("documents", "doc_id", SHARDS, SLOTS)}
