@@ -63,8 +63,15 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints_of_edits(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
+def op10_extract(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.html import extract_text
+
+    texts = extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_shard, op5_token_counts, op6_language, op7_token_files, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_pack, op2_shard, op5_token_counts, op6_language, op7_token_files, op9_fingerprints, op10_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
