@@ -34,6 +34,15 @@ def op2_shard(spark: SparkSession, folder: str) -> DataFrame:
     return place(table(spark, folder, "documents").select("doc_id"), "doc_id", [f"shard-{i:05d}" for i in range(SHARDS)], SLOTS)
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm import warc
+
+    archives = warc.write(table(spark, folder, "pages").select("page_id", "url", "html"))
+    records = warc.read(spark, archives, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string", verify=True)
+    number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:record:(.*)>$", 1), F.lit("")).cast("long")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.token_counts import n_tokens, token_counts
 
@@ -71,7 +80,7 @@ def op10_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_shard, op5_token_counts, op6_language, op7_token_files, op9_fingerprints, op10_extract)}
+    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op5_token_counts, op6_language, op7_token_files, op9_fingerprints, op10_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
