@@ -66,6 +66,14 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, files, ids=False).withColumnRenamed("key", "doc_id")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination, n_hit
+
+    found = contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    digests = found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return digests.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.fingerprints import fingerprints_of_edits
 
@@ -80,7 +88,7 @@ def op10_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op5_token_counts, op6_language, op7_token_files, op9_fingerprints, op10_extract)}
+    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op5_token_counts, op6_language, op7_token_files, op8_decontaminate, op9_fingerprints, op10_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
