@@ -43,6 +43,12 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op4_similar(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.token_counts import n_tokens, token_counts
 
@@ -88,7 +94,7 @@ def op10_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op5_token_counts, op6_language, op7_token_files, op8_decontaminate, op9_fingerprints, op10_extract)}
+    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op4_similar, op5_token_counts, op6_language, op7_token_files, op8_decontaminate, op9_fingerprints, op10_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
