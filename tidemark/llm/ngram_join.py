@@ -1,15 +1,17 @@
 """Similarity join of documents on word n-gram sets, with prefix trees.
 
 A document's set is its distinct n-grams (64-bit hashes) in one global order,
-rare ones first.  Two sets of Jaccard similarity 3/4 or more share an n-gram in
-their first quarters, so:
+rare ones first.  Two sets of Jaccard similarity 3/4 or more share some n-grams in
+their beginnings (a quarter of each set and SHARED - 1 members more), so:
 
 1.  A sketch of n-gram frequencies (a fixed number of counters) gives the order.
     Any order is right; a good one keeps n-grams of common passages out of the
-    first quarters.
-2.  First quarters are dealt by n-gram; every set that has an n-gram is tied to
-    the least set that has it.  These ties are combined inside tasks before they
-    are dealt, so a very common n-gram costs a task no more than any other.
+    beginnings.
+2.  Beginnings are dealt by n-gram.  Sets that meet in n-grams that few sets have
+    are tied if they meet SHARED times and their sizes and places allow a link;
+    where many sets have an n-gram all are tied to the least of them.  The latter
+    are combined inside tasks before they are dealt, so a very common n-gram
+    costs a task no more than any other.
 3.  The components of the ties are groups that no link leaves.  Each group's
     sets are stored in a prefix tree, in the global order, and every set of the
     group walks the tree: overlaps with shared beginnings are counted once,
@@ -47,6 +49,8 @@ COUNTERS, PARTS = 1 << 22, 64
 GROUP_SETS, BLOCK_SETS = 1500, 700
 #: Bytes of text whose first quarters are combined before they are dealt, and of dealt n-grams in a bucket.
 COMBINED_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
+#: Members of their beginnings that linked sets share at least, and sets of an n-gram up to which pairs are looked at one by one.
+SHARED, SMALL_BLOCK = 3, 16
 #: Rows of the table of sets to compare that may be broadcast (24 bytes each); a shuffled join serves beyond.
 BROADCAST_ROWS = 1_000_000
 #: Words are stretches of bytes that are no ASCII white space.
@@ -268,77 +272,126 @@ def _classes(stats: DataFrame) -> np.ndarray:
     return _frequency_classes(counts.reshape(-1))
 
 
+def _block_pairs(token: np.ndarray, owner: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b), a > b, of each block of equal n-grams (sorted by n-gram, then set) that can be linked, how often they met and the overlaps needed.
+
+    Two linked sets have SHARED common members among those dealt out (or all that
+    their overlap needs, if fewer), and what follows each of these in both sets
+    makes up the rest of the overlap.
+    """
+    n = len(token)
+    found = []
+    for gap in range(1, SMALL_BLOCK):
+        same = np.flatnonzero(token[: n - gap] == token[gap:]) if n > gap else np.zeros(0, dtype=np.int64)
+        if not len(same):
+            break
+        other = same + gap
+        least = needed(size[same], size[other])
+        rest = np.minimum(size[same] - place[same], size[other] - place[other]) - 1
+        fits = (owner[same] != owner[other]) & (SHARED + rest >= least) & (np.minimum(size[same], size[other]) >= least)
+        x, y = owner[same[fits]], owner[other[fits]]
+        found.append(np.stack([np.maximum(x, y), np.minimum(x, y), np.minimum(SHARED, least[fits])], axis=1))
+    if not found:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, empty, empty
+    rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return rows[:, 0], rows[:, 1], times, rows[:, 2]
+
+
 def _ties(df: DataFrame, text: str, n: int, classes: object, buckets: int) -> DataFrame:
-    """Written pairs (a, b), a > b, of set ids that share a member of their first quarters: each with the least set that has it."""
+    """Written pairs (a, b), a > b, of set ids whose components no link leaves.
+
+    Sets that meet in n-grams of few sets are tied if they meet often enough to
+    be linked; sets of an n-gram that many have are all tied to the least one.
+    """
+    kinds = np.dtype([("token", "<u8"), ("owner", "<i8"), ("size", "<u4"), ("place", "<u4")])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in windows(batch, "text", COMBINED_BYTES):
-                tokens, sets = [], []
+                made = []
                 for small in windows(part, "text"):
                     grams, at = ngrams(small.column("text"), n)
                     ids, size = set_ids(grams, at), np.diff(at)
                     has = size > 0
                     ordered = _in_order(grams, at, classes.value)
-                    first = prefix_length(size[has])
+                    first = np.minimum(prefix_length(size[has]) + SHARED - 1, size[has])
                     total = np.cumsum(first)
-                    place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(at[:-1][has] - (total - first), first)
-                    tokens.append(ordered[place])
-                    sets.append(np.repeat(ids[has], first))
-                token, owner = np.concatenate(tokens), np.concatenate(sets)
-                if not len(token):
+                    within = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - first, first)
+                    own = np.empty(len(within), dtype=kinds)
+                    own["token"] = ordered[np.repeat(at[:-1][has], first) + within]
+                    own["owner"] = np.repeat(ids[has], first)
+                    own["size"] = np.repeat(size[has], first)
+                    own["place"] = within
+                    made.append(own)
+                rows = np.concatenate(made)
+                if not len(rows):
                     continue
-                order = np.lexsort((owner, token))
-                token, owner = token[order], owner[order]
-                new = np.r_[True, token[1:] != token[:-1]]
-                least = owner[new][np.cumsum(new) - 1]
-                tied = owner != least
-                a, b = owner[tied], least[tied]
-                pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-                token, owner = token[new], owner[new]
-                bucket = (token >> np.uint64(8)).astype(np.uint64) % np.uint64(buckets)
+                rows = rows[np.lexsort((rows["owner"], rows["token"]))]
+                token, owner = rows["token"], rows["owner"]
+                new = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]  # copies of a set are one
+                rows = rows[new]
+                token, owner = rows["token"], rows["owner"]
+                start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                length = np.diff(np.r_[start, len(token)])
+                many = np.repeat(length > SMALL_BLOCK, length)
+                head = np.repeat(start, length)
+                tied = many & (np.arange(len(token)) != head)
+                pairs = np.unique(np.stack([owner[tied], owner[head][tied]], axis=1), axis=0) if tied.any() else np.zeros((0, 2), dtype=np.int64)
+                rows["size"][many] = 0  # a set that stands for many
+                rows = rows[~tied]
+                bucket = ((rows["token"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bucket, token, owner = bucket[order].astype(np.int64), token[order], owner[order]
+                bucket, rows = bucket[order], rows[order]
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                blobs = [token[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                blobs = [rows[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 where = bucket[edge[:-1]].tolist()
-                step = 4096
-                for x in range(0, len(pairs), step):  # ties found here travel along, spread over the buckets
-                    blobs.append(pairs[x : x + step].tobytes())
+                for x in range(0, len(pairs), 4096):  # ties found here travel along, spread over the buckets
+                    blobs.append(pairs[x : x + 4096].tobytes())
                     where.append(-1 - int(pairs[x, 0]) % buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
-            if bucket < 0:
-                pairs = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in blobs])
-            else:
-                token = np.concatenate([np.frombuffer(x[: len(x) // 2], dtype=np.uint64) for x in blobs])
-                owner = np.concatenate([np.frombuffer(x[len(x) // 2 :], dtype=np.int64) for x in blobs])
-                order = np.lexsort((owner, token))
-                token, owner = token[order], owner[order]
-                new = np.r_[True, token[1:] != token[:-1]]
-                least = owner[new][np.cumsum(new) - 1]
-                tied = owner != least
-                pairs = np.stack([owner[tied], least[tied]], axis=1)
-            if not len(pairs):
-                return None
-            pairs = np.unique(pairs, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+    def rows_of(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in (a, b, times, need)], names=["a", "b", "times", "need"])
 
+    def flush(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket < 0:
+            pairs = np.unique(np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in blobs]), axis=0)
+            yield rows_of(pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), np.ones(len(pairs)))
+            return
+        rows = np.frombuffer(b"".join(blobs), dtype=kinds)
+        token, owner = rows["token"], rows["owner"]
+        order = np.lexsort((owner, token))
+        token, owner, size, place = token[order], owner[order], rows["size"][order].astype(np.int64), rows["place"][order].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        length = np.diff(np.r_[start, len(token)])
+        many = np.repeat((length > SMALL_BLOCK) | (np.minimum.reduceat(size, start) == 0), length)
+        head = np.repeat(start, length)
+        tied = many & (owner != owner[head])
+        if tied.any():
+            pairs = np.unique(np.stack([owner[tied], owner[head][tied]], axis=1), axis=0)
+            yield rows_of(pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), np.ones(len(pairs)))
+        few = np.repeat(length > 1, length) & ~many
+        if few.any():
+            a, b, times, need = _block_pairs(token[few], owner[few], size[few], place[few])
+            if len(a):
+                yield rows_of(a, b, times, need)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
         for batch in batches:
             for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if k != bucket:
-                    if blobs and (got := flush(bucket, blobs)) is not None:
-                        yield got
+                    if blobs:
+                        yield from flush(bucket, blobs)
                     bucket, blobs = k, []
                 blobs.append(raw)
-        if blobs and (got := flush(bucket, blobs)) is not None:
-            yield got
+        if blobs:
+            yield from flush(bucket, blobs)
 
     dealt = df.select(F.col(text).alias("text")).mapInArrow(local, "bucket long, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    return written(dealt.mapInArrow(meet, "a long, b long"), "ties")
+    met = dealt.mapInArrow(meet, "a long, b long, times long, need long")
+    return written(met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b"), "ties")
 
 
 def _set_rows(df: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -477,7 +530,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     docs = stats.where("__part is null").select(F.col(f"`{key}`").alias("key"), F.col("__key").alias("text_key"), F.col("__size").alias("size"), F.col("__set").alias("set"))
     classes = df.sparkSession.sparkContext.broadcast(_classes(stats))
     total = docs.agg(F.sum("size")).first()[0] or 0
-    ties = _ties(df, text, n, classes, max(16, int(total * (1 - NEED / OF) * 16 / BUCKET_BYTES)))
+    ties = _ties(df, text, n, classes, max(16, int(total * (1 - NEED / OF) * 24 / BUCKET_BYTES)))
     groups = written(components(ties).select(F.col("node").alias("set"), F.col("component").alias("group")), "groups")
     keys = docs.where("size > 0").groupBy("set").agg(F.min("text_key").alias("key"))
     wanted = written(keys.join(groups, "set").select("key", "set", "group"), "wanted")

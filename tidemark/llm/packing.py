@@ -34,6 +34,8 @@ from tidemark.session import written
 
 #: The linear program stops when its value is within this part of a lower bound; what it leaves open costs cuts, not padding.
 GAP = 0.01
+#: Documents whose pieces a task makes at once.
+STEP = 1000
 #: Rows of the table of rank offsets that may be broadcast (24 bytes each); a shuffled join serves beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -240,7 +242,7 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, first = shared.value
-        for batch in batches:
+        for batch in (whole.slice(k, STEP) for whole in batches for k in range(0, whole.num_rows, STEP)):
             columns = {c: batch.column(c).to_pylist() for c in ("task", "n", "rest", "rank", "full")}
             row, start, length, sequence, offset, ids = [], [], [], [], [], []
             for k, (task, n, rest, rank, full, raw) in enumerate(zip(*columns.values(), batch.column("ids"), strict=True)):

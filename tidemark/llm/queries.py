@@ -7,16 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokenize import tokenizer_path
 from tidemark.session import table
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the public tokenizer file is; on a cluster every host has the same package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
@@ -93,11 +87,25 @@ def op10_extract(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+#: The records of op3_warc.
+WARC_SQL = """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+    FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op4_similar, op5_token_counts, op6_language, op7_token_files, op8_decontaminate, op9_fingerprints, op10_extract)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op1_pack, op2_shard, op3_warc, op4_similar, op5_token_counts, op6_language, op7_token_files, op8_decontaminate, op9_fingerprints, op10_extract)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm import sharding
 
-    return {"op2_shard": sharding.oracle("documents", "doc_id", SHARDS, SLOTS)}
+    return {"op2_shard": sharding.oracle("documents", "doc_id", SHARDS, SLOTS), "op3_warc": WARC_SQL}
