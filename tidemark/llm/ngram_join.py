@@ -43,8 +43,10 @@ from tidemark.session import written
 
 #: Words in an n-gram; similarity at least NEED of OF.
 WORDS, NEED, OF = 5, 75, 100
-#: Counters of the frequency sketch, in parts.
-COUNTERS, PARTS = 1 << 22, 64
+#: Counters of the frequency sketch, in parts; an n-gram is frequent when its counter is RATIO times the mean and FEWEST at least.
+COUNTERS, PARTS = 1 << 24, 64
+RATIO, FEWEST = 1.75, 4
+_SHIFT = np.uint64(64 - 24)
 #: Sets that one prefix tree holds, and sets in a block of a larger group.
 GROUP_SETS, BLOCK_SETS = 1500, 700
 #: Bytes of text whose first quarters are combined before they are dealt, and of dealt n-grams in a bucket.
@@ -110,13 +112,12 @@ def needed(a: object, b: object) -> object:
 def _in_order(grams: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The same sets, members in the global order: class of frequency first, then hash."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return grams[np.lexsort((grams, classes[grams >> np.uint64(42)], row))]
+    return grams[np.lexsort((grams, classes[grams >> _SHIFT], row))]
 
 
-def _frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for counters near the mean, else the logarithm of how often they are above it."""
-    mean = max(counts.mean(), 1.0)
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts / (2.5 * mean), 0.5))) + 1).astype(np.uint8)
+def _frequency_classes(counts: np.ndarray, mean: float) -> np.ndarray:
+    """0 for counters near the mean, else 1 and the logarithm of how often they are above what makes an n-gram frequent."""
+    return np.floor(np.log2(np.maximum(counts / max(RATIO * mean, FEWEST), 0.5)) + 1).astype(np.uint8)
 
 
 class Tree:
@@ -233,13 +234,13 @@ def _stats(df: DataFrame, text: str, keep: list[str], n: int) -> DataFrame:
     width = COUNTERS // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        counts = np.zeros(COUNTERS, dtype=np.uint16)
         kept: list[pa.Field] = []
         for batch in batches:
             for part in windows(batch, "__text"):
                 grams, at = ngrams(part.column("__text"), n)
-                place = grams >> np.uint64(42)
-                counts += np.bincount(place.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                place, times = np.unique(grams >> _SHIFT, return_counts=True)
+                counts[place] = np.minimum(counts[place] + times, 65535)
                 size = np.diff(at)
                 rows = part.num_rows
                 kept = [part.schema.field(c) for c in [*keep, "__key"]]
@@ -253,23 +254,24 @@ def _stats(df: DataFrame, text: str, keep: list[str], n: int) -> DataFrame:
     return written(source.mapInArrow(run, fields), "sets")
 
 
-def _classes(stats: DataFrame) -> np.ndarray:
-    """The frequency class of each counter: sums of the tasks' counters, part by part."""
+def _classes(stats: DataFrame, members: int) -> np.ndarray:
+    """The frequency class of each counter, from the sums of the tasks' counters, part by part."""
+    mean = members / COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), dtype=np.uint32).astype(np.int64)
+                own = np.frombuffer(zlib.decompress(raw), dtype=np.uint16).astype(np.int64)
                 total[part] = total[part] + own if part in total else own
         if total:
-            yield pa.RecordBatch.from_pydict({"part": list(total), "counts": [zlib.compress(np.minimum(v, 2**32 - 1).astype("<u4").tobytes(), 1) for v in total.values()]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"part": list(total), "classes": [zlib.compress(_frequency_classes(v, mean).tobytes(), 1) for v in total.values()]}, schema=pa.schema([("part", pa.int32()), ("classes", pa.binary())]))
 
-    counts = np.zeros((PARTS, COUNTERS // PARTS), dtype=np.int64)
+    classes = np.zeros((PARTS, COUNTERS // PARTS), dtype=np.uint8)
     dealt = stats.where("__part is not null").select(F.col("__part").alias("part"), F.col("__counts").alias("counts")).repartition(16, "part")
-    for r in dealt.mapInArrow(run, "part int, counts binary").collect():  # the fixed number of counters
-        counts[r["part"]] += np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return _frequency_classes(counts.reshape(-1))
+    for r in dealt.mapInArrow(run, "part int, classes binary").collect():  # a byte for each of the counters
+        classes[r["part"]] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
+    return classes.reshape(-1)
 
 
 def _block_pairs(token: np.ndarray, owner: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -528,8 +530,8 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     stats = _stats(df, text, [key], n)
     docs = stats.where("__part is null").select(F.col(f"`{key}`").alias("key"), F.col("__key").alias("text_key"), F.col("__size").alias("size"), F.col("__set").alias("set"))
-    classes = df.sparkSession.sparkContext.broadcast(_classes(stats))
     total = docs.agg(F.sum("size")).first()[0] or 0
+    classes = df.sparkSession.sparkContext.broadcast(_classes(stats, total))
     ties = _ties(df, text, n, classes, max(16, int(total * (1 - NEED / OF) * 24 / BUCKET_BYTES)))
     groups = written(components(ties).select(F.col("node").alias("set"), F.col("component").alias("group")), "groups")
     keys = docs.where("size > 0").groupBy("set").agg(F.min("text_key").alias("key"))
