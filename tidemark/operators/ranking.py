@@ -237,6 +237,8 @@ def suppress(df: DataFrame, stream: str, position: str, score: str, radius: int)
     w = Window.partitionBy(stream).orderBy(position)
     runs = df.withColumn("__new", F.when(F.col(position) - F.lag(position).over(w) <= radius, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
+    names = df.columns
+
     def keep(pdf: object) -> object:
         order = pdf.sort_values([score, position], ascending=[False, True], kind="stable")
         taken: list = []
@@ -247,7 +249,7 @@ def suppress(df: DataFrame, stream: str, position: str, score: str, radius: int)
             if not any(abs(p - t) <= radius for t in near):
                 taken.insert(at, p)
                 chosen.append(k)
-        return pdf.loc[chosen, df.columns]
+        return pdf.loc[chosen, names]
 
     return runs.groupBy(stream, "__run").applyInPandas(keep, df.schema)
 
@@ -260,7 +262,7 @@ def corroboration(df: DataFrame, channels: list[str]) -> dict[str, float]:
     for c in channels:
         z = z_score(z, c, f"z_{c}")
     rest = {c: sum((F.coalesce(F.col(f"z_{d}"), F.lit(0.0)) for d in channels if d != c), F.lit(0.0)) for c in channels}
-    r = z.agg(*(F.corr(F.col(f"z_{c}"), rest[c]).alias(c) for c in channels)).first()
+    r = z.agg(*(F.covar_pop(F.col(f"z_{c}"), rest[c]).alias(c) for c in channels)).first()  # of the correlation's sign
     return {c: 0.0 if r[c] is not None and r[c] < 0 else 1.0 for c in channels}
 
 

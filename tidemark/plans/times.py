@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, intervals, windows
-from tidemark.plans.common import DAY, EV, IV, NS, T0, T1, embeddings, events
+from tidemark.plans.common import DAY, EV, IV, NS, T0, embeddings, events
 from tidemark.plans.common import intervals as spans_of
 from tidemark.session import table
 
@@ -46,16 +46,16 @@ def containment_join(spark, d):
 
 
 def overlap_join(spark, d):
-    iv = spans_of(spark, d).where(F.col("ts").between(T0, T0 + DAY))
+    iv = spans_of(spark, d)
     a = iv.where("stream = 'click'").select("ts", F.least("t1", F.col("ts") + 6 * HOUR).alias("t1"), F.col("event_id").alias("a"))
     b = iv.where("stream = 'view'").select(F.col("ts").alias("r_ts"), F.least("t1", F.col("ts") + 6 * HOUR).alias("r_t1"), F.col("event_id").alias("b"))
     return intervals.overlap_join(a, b, HOUR).select("a", "b")
 
 
 def overlap_anti(spark, d):
-    iv = spans_of(spark, d).where(F.col("ts").between(T0, T0 + DAY)).select("event_id", "user_id", "ts", F.least("t1", F.col("ts") + HOUR).alias("t1"))
-    probe = iv.where("user_id < 10").select(F.col("ts").alias("r_ts"), F.col("t1").alias("r_t1"))
-    return intervals.overlap_join(iv.where("user_id >= 10"), probe, HOUR, how="left_anti").select("event_id")
+    iv = spans_of(spark, d).select("event_id", "stream", "ts", F.least("t1", F.col("ts") + HOUR).alias("t1"))
+    probe = iv.where("stream = 'purchase'").select(F.col("ts").alias("r_ts"), F.col("t1").alias("r_t1"))
+    return intervals.overlap_join(iv.where("stream <> 'purchase'"), probe, HOUR, how="left_anti").select("event_id")
 
 
 def clock_fit(spark, d):
@@ -68,12 +68,12 @@ def tumbling_windows(spark, d):
 
 
 def sliding_windows(spark, d):
-    ev = events(spark, d).where(F.col("ts").between(T0, T1))
+    ev = events(spark, d)
     return windows.sliding(ev, 4 * HOUR, HOUR, ["stream"], {"mean": F.round(F.avg("value"), 6)}, min_rows=4).select("stream", "start", "end", "rows", "mean")
 
 
 def multiscale_windows(spark, d):
-    return windows.multiscale(events(spark, d).where(F.col("ts").between(T0, T1)), [2 * HOUR, 4 * HOUR, 8 * HOUR], ["stream"])
+    return windows.multiscale(events(spark, d), [2 * HOUR, 4 * HOUR, 8 * HOUR], ["stream"])
 
 
 def capped_sequences(spark, d):
@@ -192,12 +192,12 @@ QUERIES = {
     "asof_backward": (asof_backward, f"WITH {EV}, s AS (SELECT user_id, ts, max(value) AS value FROM ev WHERE stream = 'view' GROUP BY 1, 2) SELECT p.user_id, p.ts, p.event_id, s.value, s.ts AS sample_ts FROM (SELECT * FROM ev WHERE stream = 'purchase') p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts"),
     "drift_free_timeline": (drift_free_timeline, f"SELECT {T0} + floor(i * (1e9::DOUBLE / 30) + 0.5)::BIGINT AS ts FROM range(301) r(i)"),
     "containment_join": (containment_join, f"WITH {EV}, b AS (SELECT user_id, ts AS start, event_id AS k FROM ev WHERE stream = 'view'), s AS (SELECT user_id, start, k AS span_id, least(start + {HOUR * 12}, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start, k) - 1, {2**62})) AS e FROM b) SELECT p.event_id, s.span_id FROM (SELECT * FROM ev WHERE stream = 'purchase') p ASOF JOIN s ON p.user_id = s.user_id AND p.ts >= s.start WHERE p.ts <= s.e"),
-    "overlap_join": (overlap_join, f"WITH {IV}, c AS (SELECT event_id, user_id, stream, ts, least(t1, ts + {6 * HOUR}) AS t1 FROM iv WHERE ts BETWEEN {T0} AND {T0 + DAY}) SELECT a.event_id AS a, b.event_id AS b FROM c a JOIN c b ON a.ts <= b.t1 AND b.ts <= a.t1 WHERE a.stream = 'click' AND b.stream = 'view'"),
-    "overlap_anti": (overlap_anti, f"WITH {IV}, c AS (SELECT event_id, user_id, ts, least(t1, ts + {HOUR}) AS t1 FROM iv WHERE ts BETWEEN {T0} AND {T0 + DAY}) SELECT event_id FROM c a WHERE user_id >= 10 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.user_id < 10 AND a.ts <= b.t1 AND b.ts <= a.t1)"),
+    "overlap_join": (overlap_join, f"WITH {IV}, c AS (SELECT event_id, user_id, stream, ts, least(t1, ts + {6 * HOUR}) AS t1 FROM iv) SELECT a.event_id AS a, b.event_id AS b FROM c a JOIN c b ON a.ts <= b.t1 AND b.ts <= a.t1 WHERE a.stream = 'click' AND b.stream = 'view'"),
+    "overlap_anti": (overlap_anti, f"WITH {IV}, c AS (SELECT event_id, stream, ts, least(t1, ts + {HOUR}) AS t1 FROM iv) SELECT event_id FROM c a WHERE stream <> 'purchase' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.stream = 'purchase' AND a.ts <= b.t1 AND b.ts <= a.t1)"),
     "clock_fit": (clock_fit, f"WITH {EV}, p AS (SELECT stream, event_id * 7 + user_id AS tick, ts - {T0} AS y FROM ev), f AS (SELECT stream, regr_slope(y::DOUBLE, tick::DOUBLE) AS rate, count(*) AS pairs FROM p GROUP BY stream), o AS (SELECT p.stream, rate, pairs, y - rate * tick AS o, row_number() OVER (PARTITION BY p.stream ORDER BY y - rate * tick) - 1 AS k FROM p JOIN f USING (stream)) SELECT stream, round(rate / 1e9, 4) AS rate, round(o / 1e12, 2) AS \"offset\", pairs FROM o WHERE k = pairs // 2"),
     "tumbling_windows": (tumbling_windows, f"WITH {EV}, t AS ({_tumble()}), l AS (SELECT stream, max(ts) AS last FROM ev GROUP BY 1) SELECT stream, start, least(start + {6 * HOUR - 1}, last) AS \"end\", n, mean FROM t JOIN l USING (stream)"),
-    "sliding_windows": (sliding_windows, f"WITH {EV}, e AS (SELECT * FROM ev WHERE ts BETWEEN {T0} AND {T1}), x AS (SELECT stream, min(ts) AS a, max(ts) AS b FROM e GROUP BY 1), w AS (SELECT stream, unnest(range(a, b + 1, {HOUR})) AS start, a, b FROM x) SELECT w.stream, start, start + {4 * HOUR} AS \"end\", count(*) AS rows, round(avg(value), 6) AS mean FROM w JOIN e ON e.stream = w.stream AND e.ts >= start AND e.ts < start + {4 * HOUR} WHERE start <= b - {2 * HOUR} OR start = a GROUP BY 1, 2 HAVING count(*) >= 4"),
-    "multiscale_windows": (multiscale_windows, f"WITH {EV}, x AS (SELECT stream, min(ts) AS a, max(ts) AS b FROM ev WHERE ts BETWEEN {T0} AND {T1} GROUP BY 1), s AS (SELECT unnest([{2 * HOUR}, {4 * HOUR}, {8 * HOUR}]) AS width) SELECT stream, width, start, start + width AS \"end\" FROM (SELECT stream, width, unnest(generate_series(a, b - width, width // 2)) AS start FROM x, s WHERE a + width <= b)"),
+    "sliding_windows": (sliding_windows, f"WITH {EV}, e AS (SELECT * FROM ev), x AS (SELECT stream, min(ts) AS a, max(ts) AS b FROM e GROUP BY 1), w AS (SELECT stream, unnest(range(a, b + 1, {HOUR})) AS start, a, b FROM x) SELECT w.stream, start, start + {4 * HOUR} AS \"end\", count(*) AS rows, round(avg(value), 6) AS mean FROM w JOIN e ON e.stream = w.stream AND e.ts >= start AND e.ts < start + {4 * HOUR} WHERE start <= b - {2 * HOUR} OR start = a GROUP BY 1, 2 HAVING count(*) >= 4"),
+    "multiscale_windows": (multiscale_windows, f"WITH {EV}, x AS (SELECT stream, min(ts) AS a, max(ts) AS b FROM ev GROUP BY 1), s AS (SELECT unnest([{2 * HOUR}, {4 * HOUR}, {8 * HOUR}]) AS width) SELECT stream, width, start, start + width AS \"end\" FROM (SELECT stream, width, unnest(generate_series(a, b - width, width // 2)) AS start FROM x, s WHERE a + width <= b)"),
     "capped_sequences": (capped_sequences, f"WITH {EV}, r AS (SELECT stream, event_id, row_number() OVER (PARTITION BY stream ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY stream) AS n FROM ev) SELECT stream, event_id FROM r WHERE n <= 32 OR k = 0 OR floor(k * 31.0::DOUBLE / (n - 1)) <> floor((k - 1) * 31.0::DOUBLE / (n - 1))"),
     "session_islands": (session_islands, _runs(3 * HOUR, "user_id", 'session, min(ts) AS start, max(ts) AS "end", count(*) AS rows, round(sum(value), 4) AS total')),
     "incremental_windows": (incremental_windows, f"WITH {EV}, m AS (SELECT stream, least(max(ts // {6 * HOUR} * {6 * HOUR}) + {6 * HOUR - 1}, max(ts)) AS mark FROM ev WHERE ts < {T0} GROUP BY 1) SELECT ev.stream, ts // {6 * HOUR} * {6 * HOUR} AS start, count(*) AS n FROM ev LEFT JOIN m USING (stream) WHERE mark IS NULL OR ts // {6 * HOUR} * {6 * HOUR} > mark GROUP BY 1, 2"),

@@ -51,7 +51,7 @@ def knn_exact(spark, d):
 
 
 def knn_hybrid_filter(spark, d):
-    return _out(V.knn(embeddings(spark, d), "embedding", vector_of(spark, d, Q), 20, "vec_id", F.col("label") % 2 == 0))
+    return _out(V.knn(embeddings(spark, d), "embedding", vector_of(spark, d, Q), 20, "vec_id", F.col("label").isin(0, 2, 4, 6, 8)))
 
 
 def compositional_and_not(spark, d):
@@ -138,7 +138,7 @@ def effective_rank(spark, d):
 
 
 def graph_diffusion(spark, d):
-    e = embeddings(spark, d).where("vec_id < 200")
+    e = embeddings(spark, d)
     return V.top_k(V.diffuse(e, "vec_id", "embedding", [Q], 8, rounds=4), "score", 15, "vec_id").select("vec_id", "rank")
 
 
@@ -149,7 +149,7 @@ def rank_pooling(spark, d):
 
 def late_interaction(spark, d):
     e = embeddings(spark, d)
-    groups = e.where("vec_id < 100").groupBy((F.col("vec_id") / 10).cast("int").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("vs"))
+    groups = e.groupBy((F.col("vec_id") / 10).cast("int").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("vs"))
     from tidemark.functions.vectors import chamfer, max_similarity
 
     first = groups.where("g = 0").select(F.col("vs").alias("q"))
@@ -166,7 +166,7 @@ def max_views_min_atoms(spark, d):
 def local_context_residual(spark, d):
     from pyspark.sql import Window
 
-    flat = embeddings(spark, d).select("vec_id", "label", F.posexplode("embedding").alias("pos", "x")).where("pos < 4")
+    flat = embeddings(spark, d).select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
     w = Window.partitionBy("label", "pos").orderBy("vec_id").rowsBetween(-3, 3)
     out = flat.withColumn("m", (F.sum("x").over(w) - F.col("x")) / (F.count("x").over(w) - 1))
     return out.select("vec_id", "pos", F.round(F.col("x") - F.col("m"), 6).alias("x"))
@@ -190,7 +190,7 @@ QV = f"q AS (SELECT {_query(Q)} AS q)"
 QUERIES = {
     "pool_mean_vector": (pool_mean_vector, f"WITH {CENT} SELECT label, pos::INTEGER - 1 AS pos, round(x, 6) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u)"),
     "knn_exact": (knn_exact, f"WITH t AS (SELECT vec_id, {_dot('embedding::DOUBLE[]', _query(Q))} AS s FROM embeddings) {_top(20)}"),
-    "knn_hybrid_filter": (knn_hybrid_filter, f"WITH t AS (SELECT vec_id, {_dot('embedding::DOUBLE[]', _query(Q))} AS s FROM embeddings WHERE label % 2 = 0) {_top(20)}"),
+    "knn_hybrid_filter": (knn_hybrid_filter, f"WITH t AS (SELECT vec_id, {_dot('embedding::DOUBLE[]', _query(Q))} AS s FROM embeddings WHERE label IN (0, 2, 4, 6, 8)) {_top(20)}"),
     "compositional_and_not": (compositional_and_not, f"WITH t AS (SELECT vec_id, least({_dot('embedding::DOUBLE[]', _query(Q))}, {_dot('embedding::DOUBLE[]', _query(R))}) - 0.5 * {_dot('embedding::DOUBLE[]', _query(40))} AS s FROM embeddings) {_top(20)}"),
     "clip_query": (clip_query, f"WITH f AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id BETWEEN 100 AND 105), m AS (SELECT pos, avg(x) AS m FROM f GROUP BY 1), v AS (SELECT list(m ORDER BY pos) AS v FROM m), t AS (SELECT vec_id, {_dot('embedding::DOUBLE[]', 'v')} / (sqrt({_dot('v', 'v')}) + 1e-8) AS s FROM embeddings, v WHERE vec_id NOT BETWEEN 100 AND 105) {_top(15)}"),
     "knn_self_join": (knn_self_join, f"WITH t AS (SELECT a.vec_id AS query, b.vec_id, {_dot('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id)::INTEGER AS rank, round(s, 6) AS score FROM t QUALIFY rank <= 5"),
@@ -208,9 +208,9 @@ QUERIES = {
     "effective_rank": (effective_rank, None),
     "graph_diffusion": (graph_diffusion, None),
     "rank_pooling": (rank_pooling, "WITH o AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, count(*) OVER (PARTITION BY label) AS n FROM embeddings), f AS (SELECT label, 2 * t - n - 1 AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM o) SELECT label, pos, round(sum(w * x), 4) AS x FROM f GROUP BY 1, 2"),
-    "late_interaction": (late_interaction, f"WITH e AS (SELECT vec_id, vec_id // 10 AS g, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100), p AS (SELECT b.g, a.vec_id, max({_dot('a.v', 'b.v')}) AS s FROM e a, e b WHERE a.g = 0 AND b.g > 0 GROUP BY 1, 2) SELECT g::INTEGER AS g, round(max(s), 6) AS best, round(avg(s), 6) AS chamfer FROM p GROUP BY 1"),
+    "late_interaction": (late_interaction, f"WITH e AS (SELECT vec_id, vec_id // 10 AS g, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT b.g, a.vec_id, max({_dot('a.v', 'b.v')}) AS s FROM e a, e b WHERE a.g = 0 AND b.g > 0 GROUP BY 1, 2) SELECT g::INTEGER AS g, round(max(s), 6) AS best, round(avg(s), 6) AS chamfer FROM p GROUP BY 1"),
     "max_views_min_atoms": (max_views_min_atoms, f"SELECT (vec_id // 5)::INTEGER AS episode, round(least(max({_dot('embedding::DOUBLE[]', _query(Q))}), max({_dot('embedding::DOUBLE[]', _query(R))})), 6) AS score FROM embeddings GROUP BY 1"),
-    "local_context_residual": (local_context_residual, "WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings) SELECT vec_id, pos, round(x - (sum(x) OVER w - x) / (count(x) OVER w - 1), 6) AS x FROM f WHERE pos < 4 WINDOW w AS (PARTITION BY label, pos ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"),
+    "local_context_residual": (local_context_residual, "WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings) SELECT vec_id, pos, round(x - (sum(x) OVER w - x) / (count(x) OVER w - 1), 6) AS x FROM f WINDOW w AS (PARTITION BY label, pos ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"),
     "normalised_lengths": (normalised_lengths, "SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings"),
     "near_copies_of_benchmark": (near_copies_of_benchmark, "WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark), d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT DISTINCT doc_id, item_id FROM d JOIN l USING (line) WHERE length(line) > 60"),
 }
