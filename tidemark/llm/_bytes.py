@@ -11,10 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once: the passes below hold about fifty bytes for each.
 WINDOW_BYTES = 2 << 20
 
+#: Rows of a batch between Spark and Python, where the session has Spark's default of ten times as many: texts are long.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let a session hand texts over in smaller batches, unless it has a size of its own."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROOT = 0x9E3779B97F4A7C15 | 1
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._bytes import LOWER, hash_runs, ragged, utf8, windows, words
+from tidemark.llm._bytes import LOWER, hash_runs, ragged, text_batches, utf8, windows, words
 
 #: Words in a window.
 WINDOW = 10
@@ -240,6 +240,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     and rows are as good as single ones.  Input columns named like the new ones
     are replaced.
     """
+    text_batches(df.sparkSession)
     new = ("n_words", "spans", "items")
     kept = [c for c in (keep if keep is not None else df.columns) if c not in new]
     given = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._bytes import text_batches
 from tidemark.session import written
 
 #: A subtree is template when it stands on so many different articles of a host at least, and on this share of them:
@@ -306,6 +307,7 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list
     Hashes are pre-aggregated inside tasks, so a host with a third of all pages
     is a sum over tasks and not a group in one of them.
     """
+    text_batches(df.sparkSession)
     kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != html]) if c != text]
     pages = df.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
 

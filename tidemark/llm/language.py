@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._bytes import mix, windows
+from tidemark.llm._bytes import mix, text_batches, windows
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -124,6 +124,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
     for all if there is no model.  Whole texts count, in windows of bounded
     size; rows are independent, so repeated rows get equal predictions.
     """
+    text_batches(df.sparkSession)
     kept = [c for c in (keep if keep is not None else df.columns) if c not in ("lang_pred", "score")]
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import LOWER, hash_runs, mix, utf8, windows, words
+from tidemark.llm._bytes import LOWER, hash_runs, mix, text_batches, utf8, windows, words
 from tidemark.llm.components import components
 from tidemark.session import written
 
@@ -528,6 +528,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     their own key as component.  Rows with equal sets are linked; a null key is
     skipped when the smallest is taken unless all are null.  Repeated rows stay.
     """
+    text_batches(df.sparkSession)
     stats = _stats(df, text, [key], n)
     docs = stats.where("__part is null").select(F.col(f"`{key}`").alias("key"), F.col("__key").alias("text_key"), F.col("__size").alias("size"), F.col("__set").alias("set"))
     total = docs.agg(F.sum("size")).first()[0] or 0

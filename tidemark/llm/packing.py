@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import windows
+from tidemark.llm._bytes import text_batches, windows
 from tidemark.llm.tokenize import encoder
 from tidemark.session import written
 
@@ -189,6 +189,7 @@ def plan_layout(histogram: dict[int, int], capacity: int, gap: float = GAP) -> L
 
 def tokenized(df: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table of the ids of each row (4 bytes each, little-endian, end id last), its task, and its ranks within the task."""
+    text_batches(df.sparkSession)
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {source.schema['key'].dataType.simpleString()}, task int, n long, rest int, rank long, full long, ids binary"
 

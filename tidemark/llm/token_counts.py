@@ -11,7 +11,6 @@ prefix within a budget, are lookups afterwards; nothing is encoded again.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._bytes import windows
+from tidemark.llm._bytes import text_batches, windows
 from tidemark.llm.tokenize import PieceEncoder
 
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
@@ -53,7 +52,7 @@ class PrefixCounter(PieceEncoder):
         if not self.by_piece:
             return
         alphabet = _byte_alphabet()
-        special = {t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        special = {t.content for t in self.added}
         self.ids = {bytes(alphabet[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if token not in special}
         self.longest = max(map(len, self.ids), default=1)
         self.text_of = {i: b for b, i in self.ids.items()}
@@ -198,6 +197,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     input column named like `counts` is replaced.  Rows are neither joined nor
     grouped, so repeated rows and ids are no special case.
     """
+    text_batches(df.sparkSession)
     kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c != counts]
     source = df.select(*kept, F.col(text).alias("__text"))
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(counts, T.ArrayType(T.IntegerType(), False), False)])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import windows
+from tidemark.llm._bytes import text_batches, windows
 from tidemark.llm.tokenize import encoder
 from tidemark.session import new_folder
 
@@ -129,6 +129,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text:
     together, ordered by a hash of their text.  An empty table gives no shards.
     The driver holds the manifest, a row per shard, and the dictionary.
     """
+    text_batches(df.sparkSession)
     spark = df.sparkSession
     folder = folder or new_folder(spark, "token-files")
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

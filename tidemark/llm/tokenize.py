@@ -12,7 +12,7 @@ Other kinds of tokenizers get whole texts.
 
 from __future__ import annotations
 
-import json
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -71,14 +71,16 @@ class PieceEncoder:
     """Ids of whole texts for one tokenizer file, as the library gives them without added special tokens."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread; the library's own would multiply its memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
-        self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all("<" == t["content"][:1] and not set(t["content"]) & set(" \n.,;:!?") and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+        pre = self.tokenizer.pre_tokenizer
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values())
+        plain = all(t.content[:1] == "<" and not set(t.content) & set(" \n.,;:!?") and not t.lstrip and not t.rstrip for t in self.added)
+        self.by_piece = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and plain
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():

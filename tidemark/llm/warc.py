@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
+from tidemark.llm._bytes import text_batches
 from tidemark.session import new_folder, written
 
 #: Payloads of fewer bytes are written each time.
@@ -246,6 +247,7 @@ def write(df: DataFrame, key: str = "page_id", uri: str = "url", payload: str =
     row that is repeated is written as often.  An empty table gives an empty
     folder.
     """
+    text_batches(df.sparkSession)
     spark = df.sparkSession
     folder = folder or new_folder(spark, "warc")
     body = F.coalesce(F.col(payload), F.lit(""))
