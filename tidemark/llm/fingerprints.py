@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Units in a k-mer, and hashes in a fingerprint.
 K, SIZE = 5, 64
 #: Documents aimed at in a block of neighbours, and most blocks.
-BLOCK_ROWS, MOST_BLOCKS = 400, 4096
+BLOCK_ROWS, MOST_BLOCKS = 400, 1 << 16
 
 
 def _let(value: Column, body: object) -> Column:
@@ -109,7 +109,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     n = keys.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
     steps = [i / blocks for i in range(1, blocks)]
-    cuts = sorted({c for c in (keys.select(F.percentile_approx("k", steps, 10 * MOST_BLOCKS)).first()[0] or [])}) if steps else []
+    cuts = sorted({c for c in (keys.select(F.percentile_approx("k", steps, max(10_000, 10 * blocks))).first()[0] or [])}) if steps else []
     # two levels of cuts, so a row looks at about twice the square root of their number
     width = max(1, int(len(cuts) ** 0.5))
     coarse = cuts[::width]
