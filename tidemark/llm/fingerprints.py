@@ -95,9 +95,12 @@ def positional_matches(a: Column, b: Column) -> Column:
     return F.filter(F.transform(a, lambda x: F.struct(x["position"].alias("a"), F.try_element_at(first, x["hash"]).alias("b"))), lambda p: p["b"].isNotNull())
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """The rows of df with next_<column> of the row with the next smaller key (for the smallest: of the largest).
 
+    derived: further columns, made of the others once the rows are placed, so
+    that the passes that place them do without; they have a next_<column> too.
+
     Keys are cut into blocks at approximate quantiles; each block is sorted by
     itself and takes the first row of the following block along.  Rows with
     equal keys follow each other by a hash of the columns; null keys come last.
@@ -123,14 +126,16 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     heads = placed.groupBy("__block").agg(F.max(F.struct(F.col(key).cast("long").alias("k"), F.col("__tie").alias("t"))).alias("head")).collect()  # a row a block
     heads = sorted(((r["__block"], r["head"]["k"], r["head"]["t"]) for r in heads), reverse=True)
     if not heads:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        made = df.withColumns(derived or {})
+        return made.select("*", *(F.col(c).alias(f"next_{c}") for c in [*columns, *(derived or {})]))
     after = [(b, heads[(i + 1) % len(heads)][1], heads[(i + 1) % len(heads)][2]) for i, (b, _, _) in enumerate(heads)]
     firsts = spark.createDataFrame(after, "__to int, __k bigint, __t bigint")
     tails = placed.join(F.broadcast(firsts), F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__tie") == F.col("__t")))
     tails = tails.dropDuplicates(["__to"]).select(*df.columns, F.col("__to").alias("__block"), "__tie", F.lit(1).alias("__tail"))
-    rows = placed.withColumn("__tail", F.lit(0)).unionByName(tails)
+    rows = placed.withColumn("__tail", F.lit(0)).unionByName(tails).withColumns(derived or {})
     window = Window.partitionBy("__block").orderBy("__tail", *order)
-    taken = rows.select(*df.columns, "__tail", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns))
+    own = list(derived or {})
+    taken = rows.select(*df.columns, *own, "__tail", *(F.lead(c).over(window).alias(f"next_{c}") for c in [*columns, *own]))
     return taken.where("__tail = 0").drop("__tail")
 
 
@@ -142,8 +147,7 @@ def fingerprints_of_edits(df: DataFrame, key: str = "doc_id", text: str = "text"
     key.  Null texts count as empty; a table of one row is its own next.
     """
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumn("sketch", sketch(F.col("text")))
-    both = with_next(own, "key", ["text", "sketch"])
+    both = with_next(own, "key", ["text"], {"sketch": sketch(F.col("text"))})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), third))
