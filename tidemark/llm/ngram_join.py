@@ -48,7 +48,7 @@ COUNTERS, PARTS = 1 << 24, 64
 RATIO, FEWEST = 1.75, 4
 _SHIFT = np.uint64(64 - 24)
 #: Sets that one prefix tree holds, and sets in a block of a larger group.
-GROUP_SETS, BLOCK_SETS = 1500, 700
+GROUP_SETS, BLOCK_SETS = 400, 200
 #: Bytes of text whose first quarters are combined before they are dealt, and of dealt n-grams in a bucket.
 COMBINED_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 #: Members of their beginnings that linked sets share at least, and sets of an n-gram up to which pairs are looked at one by one.
