@@ -50,7 +50,7 @@ def main(args: list[str] | None = None) -> None:
         found, stats = store.window(at(a.t0), at(a.t1))
         for name, df in found.items():
             print(name, df.count())
-        print(f"{stats.files_touched} of {stats.files_total} files, {stats.elided:.2f} % of the bytes left unread")
+        print(f"{stats.files_touched} of {stats.files_total} files, {stats.unread:.2f} % of the bytes left unread")
 
 
 if __name__ == "__main__":

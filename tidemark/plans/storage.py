@@ -93,12 +93,12 @@ def table_history(spark, d):
     return own.table("events").history().select("version", "op").where("version < 3")
 
 
-def elided_share(spark, d):
+def unread_share(spark, d):
     own, ev = store(spark), events(spark, d)
     own.table("events").append(*(ev.where(F.col("ts").between(T0 + k * DAY, T0 + (k + 1) * DAY - 1)) for k in range(-4, 26)))
     with own.measure() as stats:
         n = own.table("events").scan(T0, T0 + DAY // 2).count()
-    return spark.createDataFrame([(n, stats.elided > 80)], "rows long, mostly_elided boolean")
+    return spark.createDataFrame([(n, stats.unread > 80)], "rows long, mostly_unread boolean")
 
 
 def density_histogram_64(spark, d):
@@ -139,7 +139,7 @@ QUERIES = {
     "replace_is_not_append": (replace_is_not_append, f"WITH {EV} SELECT event_id, value FROM ev WHERE value > 50"),
     "store_describe": (store_describe, f"WITH {EV} SELECT 'events' AS name, 'timeseries' AS kind, 2::BIGINT AS version, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts FROM ev UNION ALL SELECT 'spans', 'events', 0, count(*), min(ts), max(ts) FROM ev"),
     "table_history": (table_history, "SELECT v::BIGINT AS version, 'append' AS op FROM range(3) r(v)"),
-    "elided_share": (elided_share, f"WITH {EV} SELECT count(*) AS rows, true AS mostly_elided FROM ev WHERE ts BETWEEN {T0} AND {T0 + DAY // 2}"),
+    "unread_share": (unread_share, f"WITH {EV} SELECT count(*) AS rows, true AS mostly_unread FROM ev WHERE ts BETWEEN {T0} AND {T0 + DAY // 2}"),
     "density_histogram_64": (density_histogram_64, f"WITH {EV} SELECT least(63, floor((ts - {T0}) * 64.0::DOUBLE / {8 * DAY}.0::DOUBLE))::BIGINT AS bin, count(*) AS rows FROM ev WHERE ts BETWEEN {T0} AND {T0 + 8 * DAY} GROUP BY 1"),
     "ts_normalization": (ts_normalization, f"WITH {EV} SELECT event_id, ts // 1000000 * 1000000 AS ts FROM ev"),
     "append_stream": (append_stream, f"WITH {EV} SELECT event_id, ts, value FROM ev"),

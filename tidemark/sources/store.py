@@ -44,7 +44,7 @@ class ReadStats:
         self.tables.append(table)
 
     @property
-    def elided(self) -> float:
+    def unread(self) -> float:
         """Per cent of the corpus that was not read, 0 to 100."""
         if not self.corpus_bytes:
             return 0.0
