@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import floor_div
+
 
 def timeline(spark: SparkSession, t0: int, t1: int, rate_hz: float, drift_free: bool = False) -> DataFrame:
     """Points ts from t0 to t1: steps of whole nanoseconds, or each point rounded by itself so no error adds up."""
@@ -17,11 +19,14 @@ def timeline(spark: SparkSession, t0: int, t1: int, rate_hz: float, drift_free:
     return spark.range((t1 - t0) // step + 1).select((F.lit(t0) + F.col("id") * step).alias("ts"))
 
 
-def neighbours(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], at: str = "ts") -> DataFrame:
+def neighbours(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], at: str = "ts", bucket: int | None = None) -> DataFrame:
     """Each probe with the last sample at or before it (prev_ts, prev_<value>) and the first at or after it (next_...).
 
     One sort by stream and time; of samples with equal times the one with the
     largest values counts.  Columns of probes other than `by` and time are kept.
+    bucket: a length of time by which streams are cut before the sort, for
+    streams that are too long for one task; the last and first sample of each
+    bucket are then carried across buckets, a row for each bucket that is in use.
     """
     rest = [c for c in probes.columns if c not in (*by, at)]
     pack = F.struct(F.col(at).alias("ts"), *(F.col(v) for v in values))
@@ -29,25 +34,37 @@ def neighbours(probes: DataFrame, samples: DataFrame, by: list[str], values: lis
     a = probes.select(*by, at, *rest, F.lit(None).cast(kind).alias("__s"))
     b = samples.select(*by, at, *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in rest), pack.alias("__s"))
     both = a.withColumn("__probe", F.lit(True)).unionByName(b.withColumn("__probe", F.lit(False)))
-    w = Window.partitionBy(*by)
+    keys = list(by)
+    if bucket is not None:
+        both = both.withColumn("__bucket", floor_div(F.col(at), bucket))
+        keys.append("__bucket")
+    w = Window.partitionBy(*keys)
     back = F.last("__s", ignorenulls=True).over(w.orderBy(at, F.col("__probe"), "__s").rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.last("__s", ignorenulls=True).over(w.orderBy(F.col(at).desc(), F.col("__probe"), "__s").rowsBetween(Window.unboundedPreceding, 0))
     out = both.select("*", back.alias("__b"), ahead.alias("__a")).where("__probe")
+    if bucket is not None:
+        # of the first time in a bucket the largest values count, as within it
+        low = both.where("not __probe").groupBy(*keys).agg(F.min(at).alias("__first"))
+        first = both.where("not __probe").join(low, keys).where(F.col(at) == F.col("__first")).groupBy(*keys).agg(F.max("__s").alias("__f"))
+        per = both.groupBy(*keys).agg(F.max("__s").alias("__l")).join(first, keys, "left")
+        order = Window.partitionBy(*by).orderBy("__bucket")
+        carried = per.select(*keys, F.last("__l", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"), F.first("__f", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__ca"))
+        out = out.join(carried, keys).withColumn("__b", F.coalesce("__b", "__cb")).withColumn("__a", F.coalesce("__a", "__ca"))
     named = [F.col(f"{s}.{c}").alias(f"{p}_{c}") for p, s in (("prev", "__b"), ("next", "__a")) for c in ("ts", *values)]
     return out.select(*by, at, *rest, *named)
 
 
-def asof(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], direction: str = "nearest", at: str = "ts") -> DataFrame:
+def asof(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], direction: str = "nearest", at: str = "ts", bucket: int | None = None) -> DataFrame:
     """Each probe with the values of one sample of its stream: backward, forward or nearest (a tie goes to the earlier); null without any."""
-    both = neighbours(probes, samples, by, values, at)
+    both = neighbours(probes, samples, by, values, at, bucket)
     rest = [c for c in probes.columns if c not in (*by, at)]
     early = {"backward": F.lit(True), "forward": F.lit(False)}.get(direction, F.col("next_ts").isNull() | F.col("prev_ts").isNotNull() & (F.col(at) - F.col("prev_ts") <= F.col("next_ts") - F.col(at)))
     return both.select(*by, at, *rest, *(F.when(early, F.col(f"prev_{v}")).otherwise(F.col(f"next_{v}")).alias(v) for v in ("ts", *values) if v != "ts"), F.when(early, F.col("prev_ts")).otherwise(F.col("next_ts")).alias("sample_ts"))
 
 
-def linear(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], at: str = "ts") -> DataFrame:
+def linear(probes: DataFrame, samples: DataFrame, by: list[str], values: list[str], at: str = "ts", bucket: int | None = None) -> DataFrame:
     """Each probe with values interpolated between its neighbours; the first and last samples are held outward."""
-    both = neighbours(probes, samples, by, values, at)
+    both = neighbours(probes, samples, by, values, at, bucket)
     rest = [c for c in probes.columns if c not in (*by, at)]
     share = (F.col(at) - F.col("prev_ts")).cast("double") / (F.col("next_ts") - F.col("prev_ts"))
     between = lambda v: F.when(F.col("prev_ts").isNull(), F.col(f"next_{v}")).when(F.col("next_ts").isNull() | (F.col("next_ts") == F.col("prev_ts")), F.col(f"prev_{v}")).otherwise(F.col(f"prev_{v}") + share * (F.col(f"next_{v}") - F.col(f"prev_{v}")))

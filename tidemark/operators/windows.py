@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import floor_div, floor_to
+
 
 def _aggregates(aggs: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in aggs.items()]
@@ -14,7 +16,7 @@ def _aggregates(aggs: dict[str, Column]) -> list[Column]:
 
 def tumbling(df: DataFrame, width: int, by: list[str], aggs: dict[str, Column], at: str = "ts") -> DataFrame:
     """Windows that start at multiples of the width and end at their last instant, or at the stream's last row before it."""
-    start = (F.floor(F.col(at) / width) * width).cast("long")
+    start = floor_to(F.col(at), width)
     last = df.groupBy(*by).agg(F.max(at).alias("__last"))
     out = df.groupBy(*by, start.alias("start")).agg(*_aggregates(aggs))
     return out.join(last, by).withColumn("end", F.least(F.col("start") + (width - 1), F.col("__last"))).drop("__last")
@@ -31,8 +33,9 @@ def sliding(df: DataFrame, width: int, stride: int, by: list[str], aggs: dict[st
     own = df.join(origin, by)
     base = F.col("__first") if align == "first" else F.lit(0)
     past = F.col(at) - base
-    high = F.floor(past / stride)
-    low = F.greatest(F.floor((past - width) / stride) + 1, F.lit(0)) if align == "first" else F.floor((past - width) / stride) + 1
+    high = floor_div(past, stride)
+    low = floor_div(past - width, stride) + 1
+    low = F.greatest(low, F.lit(0)) if align == "first" else low
     dealt = own.select("*", F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("__k")).withColumn("start", (base + F.col("__k") * stride).cast("long"))
     if align == "first":
         dealt = dealt.where((F.col("start") <= F.col("__last") - width // 2) | (F.col("__k") == 0))
@@ -57,7 +60,7 @@ def capped(df: DataFrame, by: list[str], most: int, order: str = "ts") -> DataFr
 def incremental(df: DataFrame, done: DataFrame, width: int, by: list[str], aggs: dict[str, Column], at: str = "ts", done_until: str = "end") -> DataFrame:
     """Tumbling windows that start at or after the end of what each stream has already: `done` holds windows made before."""
     mark = done.groupBy(*by).agg(F.max(done_until).alias("__mark"))
-    fresh = df.join(mark, by, "left").where(F.col("__mark").isNull() | (F.floor(F.col(at) / width) * width > F.col("__mark")))
+    fresh = df.join(mark, by, "left").where(F.col("__mark").isNull() | (floor_to(F.col(at), width) > F.col("__mark")))
     return tumbling(fresh.drop("__mark"), width, by, aggs, at)
 
 

@@ -30,7 +30,7 @@ def align_linear(spark, d):
 def asof_backward(spark, d):
     probes = events(spark, d).where("stream = 'purchase'").select("user_id", "ts", "event_id")
     samples = events(spark, d).where("stream = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return align.asof(probes, samples, ["user_id"], ["value"], "backward")
+    return align.asof(probes, samples, ["user_id"], ["value"], "backward", bucket=2 * DAY)
 
 
 def drift_free_timeline(spark, d):
