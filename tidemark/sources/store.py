@@ -177,6 +177,26 @@ class Table:
         """Declare the cluster key and sort keys that later writes follow."""
         return self.log.commit("layout", meta={"layout": {"cluster": cluster, "sort": sort or []}})
 
+    def build_index(self, column: str) -> TableState:
+        """Write which files hold which values of a column, sorted by value; equality scans then open only those.
+
+        Files that come later are not in it and are always opened, until it is built again.
+        """
+        state = self.log.state()
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+        path = f"{self.folder}/index/{uuid.uuid4().hex}"
+        pairs = self._read(state, list(state.files)).select(F.col(column).alias("value"), name).distinct()
+        pairs.repartitionByRange("value").sortWithinPartitions("value").write.parquet(path)
+        return self.log.commit("index", meta={f"index:{column}": {"path": path, "files": [f.path for f in state.files]}})
+
+    def _indexed(self, state: TableState, column: str, values: list) -> set[str] | None:
+        """Files that can hold one of the values by the index; None without one."""
+        own = state.meta.get(f"index:{column}")
+        if own is None:
+            return None
+        found = {r["file"] for r in self.store.spark.read.parquet(own["path"]).where(F.col("value").isin(list(values))).select("file").distinct().collect()}  # at most the manifest
+        return found | {f.path for f in state.files if f.path not in set(own["files"])}
+
     def vacuum(self, keep: int = 1, dry_run: bool = False) -> list[str]:
         """Delete data files that none of the last `keep` versions reaches; their names."""
         versions = self.log.versions()[-keep:]
@@ -226,6 +246,8 @@ class Table:
         """Rows whose column is one of the values."""
         state = self.log.state(version)
         files = [f for f in state.files if any(f.may_contain(column, v, v) for v in values)]
+        known = self._indexed(state, column, values)
+        files = [f for f in files if known is None or f.path in known]
         for s in [*([stats] if stats else []), *self.store.measuring]:
             s.charge(self.name, files, state)
         df = self._read(state, files).where(F.col(column).isin(list(values)))
