@@ -53,10 +53,13 @@ SURROUNDINGS = frozenset(
     "sidebar sidebars aside widget widgets rail related recommended recommendations trending popular "
     "comment comments commentlist disqus respond replies reply discussion "
     "share sharing social follow newsletter subscribe subscription signup login search searchbox form complementary contentinfo "
-    "hidden skip skiplink".split()
+    "skip skiplink".split()
 )
-#: Names like these say that an element holds the article, whatever else they say.
-ARTICLE = frozenset("article content main body post entry story text page wrapper container layout has with".split())
+#: Words that turn such a name into a remark about the layout, or into a part of the article.
+LAYOUT = frozenset("has with without no layout".split())
+PARTS = {"header": frozenset("article entry post story content".split()), "widget": frozenset("text editor content".split())}
+#: Words that mark even an article element as no part of the article, as readers' comments are.
+NO_ARTICLE = frozenset("comment comments reply replies respond related recommended ad ads advert sponsored promo teaser".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -68,13 +71,14 @@ _WHITE = re.compile(r"\s+")
 class Element:
     """An element of a page: tag, attributes as written, children (elements and text) and, after hashing, the subtree's hash."""
 
-    __slots__ = ("tag", "attributes", "children", "parent", "hash", "size")
+    __slots__ = ("tag", "attributes", "children", "parent", "hash", "size", "holds")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
         self.hash = 0
         self.size = 0
+        self.holds = False  # an article or main element stands inside
 
 
 def parse(page: str) -> Element:
@@ -121,6 +125,10 @@ def parse(page: str) -> Element:
                 node = found.parent
         child = Element(tag, m[3], node)
         node.children.append(child)
+        if tag in ("article", "main") and not surrounding(child):
+            up = node
+            while up is not None and not up.holds:
+                up.holds, up = True, up.parent
         if tag in VOID or m[3].endswith("/") and tag in {"svg", "path"}:
             continue
         if tag in RAW:
@@ -145,8 +153,10 @@ def surrounding(element: Element) -> bool:
                 return False
             up = up.parent
         return True
-    if not element.attributes or element.tag in ("html", "body", "article", "main"):
+    if not element.attributes or element.tag in ("html", "body"):
         return False
+    article = element.tag in ("article", "main")
+    marked_ = False
     for name, a, b, c in _ATTRIBUTE.findall(element.attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -157,9 +167,10 @@ def surrounding(element: Element) -> bool:
             continue
         for word in value.split():
             parts = set(_WORD.findall(_CAMEL.sub(" ", word).lower()))
-            if parts & SURROUNDINGS and not parts & ARTICLE:
-                return True
-    return False
+            own = parts & (NO_ARTICLE if article else SURROUNDINGS)
+            if word.lower() == "hidden" or own and not parts & LAYOUT and any(not parts & PARTS.get(w, frozenset()) for w in own):
+                marked_ = True
+    return marked_ and not element.holds
 
 
 def _digest(text: str) -> int:
@@ -195,7 +206,7 @@ def article_root(root: Element) -> list[Element]:
         found, stack = [], [root]
         while stack:
             e = stack.pop()
-            if e.tag == tag:
+            if e.tag == tag and not surrounding(e):
                 found.append(e)
             elif not surrounding(e):
                 stack += [c for c in reversed(e.children) if isinstance(c, Element)]
