@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is read as units: stretches of up to four characters that are not white
-space.  A k-mer is K units in a row; its inner substrings are its single units.
+A text is read as units: four characters in a row without white space, one unit
+from every place where they stand; a stretch of fewer is one unit.  A k-mer is K
+units in a row, from every unit; its inner substrings are its single units.
 It is a closed syncmer when the smallest hash of its units is that of its first
 or last one.  Whether a k-mer is chosen depends on nothing outside it, so equal
 passages have equal anchors wherever they stand, and an edit changes only the
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units in a k-mer, and hashes in a fingerprint.
-K, SIZE = 5, 64
+#: Units in a k-mer (11 characters without white space, or two to three words), and hashes in a fingerprint.
+K, SIZE = 8, 64
 #: Documents aimed at in a block of neighbours, and most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 400, 1 << 16
 
@@ -27,7 +28,8 @@ def _let(value: Column, body: object) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S{1,4})"), F.lit(1))
+    """The units of a text in order: overlapping fours of characters, so none depends on where its stretch began."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?=(\S{4}|(?<!\S)\S{1,3}(?!\S)))\S"), F.lit(1))
 
 
 def anchors(text: Column, k: int = K) -> Column:
