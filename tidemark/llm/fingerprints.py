@@ -6,9 +6,9 @@ units in a row, from every unit; its inner substrings are its single units.
 It is a closed syncmer when the smallest hash of its units is that of its first
 or last one.  Whether a k-mer is chosen depends on nothing outside it, so equal
 passages have equal anchors wherever they stand, and an edit changes only the
-k-mers that it touches.  Anchors carry positions.  A fingerprint is the SIZE
-smallest distinct anchor hashes: a uniform sample of the set of anchors, the
-whole set for texts with no more.
+k-mers that it touches.  A fingerprint is all anchors with their positions: about
+a quarter of the units, and none is dropped.  Two texts are as alike as the
+share of their anchors that match, position by position.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units in a k-mer (11 characters without white space, or two to three words), and hashes in a fingerprint.
-K, SIZE = 8, 64
+#: Units in a k-mer: 11 characters without white space, or two to three words.
+K = 8
 #: Documents aimed at in a block of neighbours, and most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 400, 1 << 16
 
@@ -55,53 +55,57 @@ def anchors(text: Column, k: int = K) -> Column:
     return _let(F.transform(units(text), lambda u: F.xxhash64(u)), chosen)
 
 
-def sketch(text: Column, k: int = K, size: int = SIZE) -> Column:
-    """The smallest distinct anchor hashes of a text, ascending."""
+def fingerprint(found: Column) -> Column:
+    """Anchors as text, in order of position: sixteen hexadecimal digits of the hash and eight of the position for each."""
+    digits = lambda value, n: F.lpad(F.lower(F.hex(value)), n, "0")
+    return F.array_join(F.transform(found, lambda x: F.concat(digits(x["hash"], 16), digits(x["position"].cast("long"), 8))), "")
 
-    def chosen(h: Column) -> Column:
-        at = lambda i, d: F.get(h, i + F.lit(d))
 
-        def one(i: Column) -> Column:
-            own = [at(i, d) for d in range(k)]
-            low = F.least(*own)
-            return F.when((own[0] == low) | (own[-1] == low), F.xxhash64(*own))
-
-        many = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - k), one))
-        return F.when(F.size(h) >= k, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+def positional_matches(a: Column, b: Column) -> Column:
+    """Pairs of positions whose anchors agree, from two arrays of anchors: (position in a, position in b).
 
-    hashes = _let(F.transform(units(text), lambda u: F.xxhash64(u)), chosen)
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+    An anchor that stands several times in a text is paired in order, its first
+    place in a with its first in b and so on, so no place is in two pairs.
+    Both arrays are sorted together by hash, and equal hashes are then neighbours.
+    """
+    side = lambda found, n: F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), F.lit(n).alias("side"), x["position"].alias("position")))
 
+    def paired(s: Column) -> Column:
+        differs = lambda i: (i == 0) | (F.get(s, i - 1)["hash"] != F.get(s, i)["hash"])
+        starts = F.filter(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.when((i == F.size(s)) | differs(i), i)), lambda i: i.isNotNull())
 
-def fingerprint(hashes: Column) -> Column:
-    """A sketch as text: sixteen hexadecimal digits a hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+        def in_runs(at: Column) -> Column:
+            def pairs(i: Column, j: Column) -> Column:
+                run = F.slice(s, i + 1, j - i)
+                mine, other = F.filter(run, lambda x: x["side"] == 0), F.filter(run, lambda x: x["side"] == 1)
+                both = F.zip_with(mine, other, lambda x, y: F.struct(x["position"].alias("a"), y["position"].alias("b")))
+                return F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
+            two = F.transform(at, lambda i, n: F.struct(i.alias("i"), F.get(at, n + 1).alias("j")))
+            # a run of both texts begins with side 0 and ends with side 1
+            two = F.filter(two, lambda r: (r["j"] - r["i"] > 1) & (F.get(s, r["i"])["side"] < F.get(s, r["j"] - 1)["side"]))
+            return F.flatten(F.transform(two, lambda r: F.when(r["j"] - r["i"] == 2, F.array(F.struct(F.get(s, r["i"])["position"].alias("a"), F.get(s, r["i"] + 1)["position"].alias("b")))).otherwise(pairs(r["i"], r["j"]))))
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """The estimated Jaccard similarity of two texts' anchors from their sketches: shared hashes among the smallest of both; exact for short texts.
+        return _let(starts, in_runs)
 
-    1 for two texts without anchors, 0 if only one has none.
-    """
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared.cast("double") / F.size(both))
+    return _let(F.sort_array(F.concat(side(a, 0), side(b, 1))), paired)
 
 
-def positional_matches(a: Column, b: Column) -> Column:
-    """Pairs of positions whose anchors agree, from two arrays of anchors: (position in a, position in b).
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two texts' anchors, each at each of its positions: those in a positional match among those of both.
 
-    Each anchor of a meets the first anchor of b with its hash.
+    1 for two texts without anchors, 0 if only one has none.
     """
-    first = F.map_from_entries(F.transform(F.array_distinct(F.transform(b, lambda y: y["hash"])), lambda h: F.struct(h, F.array_min(F.transform(F.filter(b, lambda y: y["hash"] == h), lambda y: y["position"])))))
-    return F.filter(F.transform(a, lambda x: F.struct(x["position"].alias("a"), F.try_element_at(first, x["hash"]).alias("b"))), lambda p: p["b"].isNotNull())
+    matches, places = F.size(positional_matches(a, b)), F.size(a) + F.size(b)
+    return F.when(places == 0, F.lit(1.0)).otherwise(_let(matches, lambda m: m.cast("double") / (places - m)))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """The rows of df with next_<column> of the row with the next smaller key (for the smallest: of the largest).
 
-    derived: further columns, made of the others once the rows are placed, so
-    that the passes that place them do without; they have a next_<column> too.
+    derived: further columns, made of the others once the rows are in the task
+    of their block, so that neither the passes that place them nor the shuffle
+    carry them; they have a next_<column> too.
 
     Keys are cut into blocks at approximate quantiles; each block is sorted by
     itself and takes the first row of the following block along.  Rows with
@@ -134,7 +138,9 @@ def with_next(df: DataFrame, key: str, columns: list[str], derived: dict[str, Co
     firsts = spark.createDataFrame(after, "__to int, __k bigint, __t bigint")
     tails = placed.join(F.broadcast(firsts), F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__tie") == F.col("__t")))
     tails = tails.dropDuplicates(["__to"]).select(*df.columns, F.col("__to").alias("__block"), "__tie", F.lit(1).alias("__tail"))
-    rows = placed.withColumn("__tail", F.lit(0)).unionByName(tails).withColumns(derived or {})
+    rows = placed.withColumn("__tail", F.lit(0)).unionByName(tails)
+    if derived:
+        rows = rows.repartition("__block").withColumns(derived)
     window = Window.partitionBy("__block").orderBy("__tail", *order)
     own = list(derived or {})
     taken = rows.select(*df.columns, *own, "__tail", *(F.lead(c).over(window).alias(f"next_{c}") for c in [*columns, *own]))
@@ -149,10 +155,10 @@ def fingerprints_of_edits(df: DataFrame, key: str = "doc_id", text: str = "text"
     key.  Null texts count as empty; a table of one row is its own next.
     """
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = with_next(own, "key", ["text"], {"sketch": sketch(F.col("text"))})
+    both = with_next(own, "key", ["text"], {"anchors": anchors(F.col("text"))})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), third))
-    out = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    out = out.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return out.select("key", "n_chars", "edited_sha256", fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    out = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
+    out = out.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors", anchors(F.col("edited")).alias("edited_anchors"))
+    return out.select("key", "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
