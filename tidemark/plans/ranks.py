@@ -218,11 +218,11 @@ def dtw_anchored(spark, d):
 
 
 def dtw_banded(spark, d):
-    return sequences.warp_search(_traces(spark, d), "user_id", "trace", _query_trace(spark, d), 10, 50, 0.25).select("user_id", F.round("distance", 6).alias("distance"), "start", "end")
+    return sequences.warp_search(_traces(spark, d), "user_id", "trace", _query_trace(spark, d), 10, None, 0.25).select("user_id", F.round("distance", 6).alias("distance"), "start", "end")
 
 
 def dtw_free_ends(spark, d):
-    return sequences.warp_search(_traces(spark, d), "user_id", "trace", _query_trace(spark, d), 10, 50, 0.0, True).select("user_id", F.round("distance", 6).alias("distance"))
+    return sequences.warp_search(_traces(spark, d), "user_id", "trace", _query_trace(spark, d), 10, None, 0.0, True).select("user_id", F.round("distance", 6).alias("distance"))
 
 
 def dtw_subsequence(spark, d):
