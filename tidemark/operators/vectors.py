@@ -122,23 +122,21 @@ def sign_code_search(df: DataFrame, vector: str, query: list[float], k: int, key
 def csls(df: DataFrame, vector: str, queries: list[list[float]], key: str, k: int, neighbours: int = 16, sample: DataFrame | None = None) -> DataFrame:
     """Hubness-corrected scores: 2 x the best similarity to a query, minus the row's and the queries' mean similarity to their nearest neighbours.
 
-    The neighbours are those in a sample (of 4,096 rows at most, those of the
-    smallest keys, unless given), which is what bounds the work of a row.
+    The neighbours are those among all rows (or in a sample, if one is given),
+    found block by block; keys are unique.
     """
-    base = sample if sample is not None else df.orderBy(key).limit(4096)
-    base = base.select(F.col(key).alias("__k"), F.col(vector).alias(vector))
-    matrix = np.stack([np.asarray(r[0], dtype=float) for r in base.select(F.col(vector).cast("array<double>")).collect()])  # the sample
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
-
-    @F.pandas_udf("double")
-    def hub(v: pd.Series) -> pd.Series:
-        s = np.stack(v.to_numpy()).astype(float) @ shared.value.T
-        return pd.Series(np.sort(s, axis=1)[:, -neighbours:].mean(axis=1))
-
-    q = np.asarray(queries, dtype=float)
-    own = float(np.sort(q @ matrix.T, axis=1)[:, -neighbours:].mean())
+    base = (sample if sample is not None else df).select(F.col(key).alias("__n"), vector)
+
+    def hubs(rows: DataFrame) -> DataFrame:
+        return knn_join(rows, base, neighbours, "__k", "__n", vector).groupBy("__k").agg(F.avg("score").alias("__hub"))
+
+    asked = df.sparkSession.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], f"__k long, {vector} array<double>")
+    own = hubs(asked).agg(F.avg("__hub")).first()[0]
+    if own is None:
+        own = 0.0  # there are no rows
+    scored = df.join(hubs(df.select(F.col(key).alias("__k"), vector)), F.col(key) == F.col("__k")).drop("__k")
     best = F.greatest(*(dot(F.col(vector), constant(x)) for x in queries)) if len(queries) > 1 else dot(F.col(vector), constant(queries[0]))
-    return top_k(df.withColumn("score", 2 * best - hub(F.col(vector).cast("array<double>")) - F.lit(own)), "score", k, key)
+    return top_k(scored.withColumn("score", 2 * best - F.col("__hub") - F.lit(own)).drop("__hub"), "score", k, key)
 
 
 def clip_query(df: DataFrame, vector: str, probe: object, k: int, key: str) -> DataFrame:
