@@ -2,7 +2,10 @@
 
 A page is parsed into a tree; each element subtree has a hash of its tags and
 text.  Spark counts, per host, on how many different articles each hash
-appears; hashes on many of them are the host's template.  The second pass parses
+appears.  Hashes on many are candidates, and template are those that stand on
+many articles which differ otherwise: of the text outside of candidates, most
+stands in few other articles.  Edited copies of an article share its words, so
+together they count about once.  The second pass parses
 again, deletes those subtrees and the elements that HTML or their class names
 mark as no part of an article, and joins the blocks that remain.
 
@@ -17,6 +20,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +28,12 @@ from pyspark.sql import functions as F
 from tidemark.llm._bytes import text_batches
 from tidemark.session import written
 
-#: A subtree is template when it stands on so many different articles of a host at least, and on this share of them:
-#: on pages that mark their article, within it, and on other pages.
-MIN_ARTICLES, MIN_SHARE_MARKED, MIN_SHARE = 8, 0.5, 0.2
+#: A subtree is template when it stands on so many articles of a host that differ otherwise.
+MIN_ARTICLES = 8
+#: An article says what is template only if this part of its text at least is outside of all candidates.
+OWN_SHARE = 0.2
+#: Words in a shingle, and minimum hashes of a block's shingles, by which edited copies of a block are known.
+SHINGLE, MARKS = 5, 8
 #: Within a marked article, template that is a larger part of it than this is taken for the text of near copies and stays.
 MOST_TEMPLATE = 0.5
 #: Rows of per-page template hashes that may be broadcast; a shuffled join serves beyond.
@@ -220,11 +227,6 @@ def article_hash(root: Element) -> int:
     return _digest(" ".join(str(e.hash) for e in article_root(root)))
 
 
-def marked(root: Element) -> bool:
-    """Whether a page says where its article is."""
-    return article_root(root)[0].tag in ("article", "main")
-
-
 def _template_size(start: Element, template: frozenset[int] | set[int]) -> int:
     total, stack = 0, [c for c in start.children if isinstance(c, Element)]
     while stack:
@@ -286,23 +288,44 @@ def extract(page: str | None, template: set[int] | frozenset[int] = frozenset())
     return "\n".join(blocks(root, template))
 
 
-def subtree_hashes(page: str | None) -> tuple[int, bool, list[int]]:
-    """The article's hash, whether the page marks it, and the distinct hashes of the subtrees in it with text that extraction would keep."""
+_MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(MARKS)], np.uint64)
+
+
+def block_marks(words: list[str]) -> list[int]:
+    """The MARKS minimum hashes of a block's shingles."""
+    shingles = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    h = np.array([_digest(x) for x in shingles], np.int64).view(np.uint64)
+    mixed = h[None, :] * _MULTIPLIERS[:, None]
+    return (mixed ^ (mixed >> np.uint64(31))).min(axis=1).view(np.int64).tolist()
+
+
+def subtree_hashes(page: str | None) -> tuple[int, list[int], list[dict]]:
+    """The article's hash, the distinct hashes of the subtrees in it with text that extraction would keep, and the blocks of its text.
+
+    A block is the text right inside one element: its characters, the hashes of
+    the subtrees that it stands in, and its marks.
+    """
     if not page:
-        return 0, False, []
+        return 0, [], []
     root = parse(page)
     hash_tree(root)
     kept: set[int] = set()
-    starts = article_root(root)
-    stack = [c for e in starts for c in e.children if isinstance(c, Element)]
+    own: list[dict] = []
+    stack: list[tuple[Element, tuple[int, ...]]] = [(e, ()) for e in article_root(root)]
+    starts = {id(e) for e, _ in stack}
     while stack:
-        e = stack.pop()
-        if surrounding(e):
-            continue
-        if e.size:
-            kept.add(e.hash)
-        stack += [c for c in e.children if isinstance(c, Element)]
-    return article_hash(root), marked(root), sorted(kept)
+        e, chain = stack.pop()
+        if id(e) not in starts:
+            if surrounding(e):
+                continue
+            if e.size:
+                kept.add(e.hash)
+                chain = (*chain, e.hash)
+        words = " ".join(c for c in e.children if isinstance(c, str)).split()
+        if words:
+            own.append({"size": sum(map(len, words)), "chain": list(chain), "marks": block_marks(words)})
+        stack += [(c, chain) for c in e.children if isinstance(c, Element)]
+    return article_hash(root), sorted(kept), own
 
 
 def host_of(url: object) -> object:
@@ -310,7 +333,29 @@ def host_of(url: object) -> object:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE, min_share_marked: float = MIN_SHARE_MARKED, text: str = "text") -> DataFrame:
+def template_of(found: DataFrame, min_articles: int = MIN_ARTICLES) -> DataFrame:
+    """(host, hash) of the template, from (host, article, hashes, blocks) of pages."""
+    nodes = found.select("host", "article", F.explode("hashes").alias("hash")).distinct()
+    candidates = written(nodes.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_articles).select("host", "hash"), "candidates")
+    number = candidates.count()
+    if number == 0:
+        return candidates
+    near = F.broadcast(candidates) if number <= BROADCAST_ROWS else candidates
+    # first() of equal articles: their blocks are the same
+    articles = found.groupBy("host", "article").agg(F.first("blocks").alias("blocks"))
+    blocks_ = written(articles.select("host", "article", F.posexplode("blocks").alias("place", "b")).select("host", "article", "place", "b.size", "b.chain", "b.marks"), "blocks")
+    inside = blocks_.select("host", "article", "place", F.explode("chain").alias("hash")).join(near, ["host", "hash"], "left_semi").select("host", "article", "place").distinct()
+    rest = blocks_.join(inside, ["host", "article", "place"], "left_anti").select("host", "article", "size", F.explode("marks").alias("mark"))
+    spread = blocks_.select("host", "article", F.explode("marks").alias("mark")).distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    whole = blocks_.groupBy("host", "article").agg(F.sum("size").alias("whole"))
+    # an article with n near copies has marks in n articles, and counts as an nth of one
+    others = rest.join(spread, ["host", "mark"]).groupBy("host", "article").agg((F.sum("size") / MARKS).alias("own"), F.percentile("n", F.lit(0.5), F.col("size")).alias("copies"))
+    weights = others.join(whole, ["host", "article"]).where(F.col("own") >= OWN_SHARE * F.col("whole")).select("host", "article", (1 / F.col("copies")).alias("weight"))
+    support = nodes.join(near, ["host", "hash"], "left_semi").join(weights, ["host", "article"]).groupBy("host", "hash").agg(F.sum("weight").alias("s"))
+    return support.where(F.col("s") >= min_articles - 1e-6).select("host", "hash")
+
+
+def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, min_articles: int = MIN_ARTICLES, text: str = "text") -> DataFrame:
     """The columns `keep` (all but the html, unless given) and the main text of each page; a column named like `text` is replaced.
 
     Null, empty and markup-only pages have an empty text.  A null or malformed
@@ -325,21 +370,19 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: list
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [subtree_hashes(page) for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array([a for a, _, _ in got], pa.int64()), pa.array([m for _, m, _ in got], pa.bool_()), pa.array([b for _, _, b in got], pa.list_(pa.int64()))], names=["host", "key", "article", "marked", "hashes"])
+            blocks_ = pa.array([b for _, _, b in got], pa.list_(pa.struct([("size", pa.int64()), ("chain", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array([a for a, _, _ in got], pa.int64()), pa.array([h for _, h, _ in got], pa.list_(pa.int64())), blocks_], names=["host", "key", "article", "hashes", "blocks"])
 
     keyed = pages.withColumn("key", F.xxhash64("host", "html"))
-    found = written(keyed.mapInArrow(hashes, "host string, key long, article long, marked boolean, hashes array<long>"), "subtrees")
-    articles = found.select("host", "marked", "article").distinct().groupBy("host", "marked").agg(F.count(F.lit(1)).alias("articles"))
-    nodes = found.select("host", "marked", "article", F.explode("hashes").alias("hash")).distinct()
-    counts = nodes.groupBy("host", "marked", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_articles)
-    template = written(counts.join(articles, ["host", "marked"]).where(F.col("n") >= F.when(F.col("marked"), min_share_marked).otherwise(min_share) * F.col("articles")).select("host", "marked", "hash"), "template")
+    found = written(keyed.mapInArrow(hashes, "host string, key long, article long, hashes array<long>, blocks array<struct<size: long, chain: array<long>, marks: array<long>>>"), "subtrees")
+    template = written(template_of(found, min_articles), "template")
     number = template.count()
     if number == 0:
         pages_with = None
     else:
-        each = found.select("host", "marked", "key", F.explode("hashes").alias("hash"))
+        each = found.select("host", "key", F.explode("hashes").alias("hash"))
         small = F.broadcast(template) if number <= BROADCAST_ROWS else template
-        pages_with = written(each.join(small, ["host", "marked", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("template")), "pages-with-template")
+        pages_with = written(each.join(small, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("template")), "pages-with-template")
     source = df.select(*kept, F.col(html).alias("__html"), F.xxhash64(host_of(F.col(url)), F.col(html)).alias("key"))
     if pages_with is None:
         source = source.withColumn("template", F.lit(None).cast("array<long>"))
