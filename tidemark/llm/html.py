@@ -34,8 +34,6 @@ MIN_ARTICLES = 8
 OWN_SHARE = 0.2
 #: Words in a shingle, and minimum hashes of a block's shingles, by which edited copies of a block are known.
 SHINGLE, MARKS = 5, 8
-#: Within a marked article, template that is a larger part of it than this is taken for the text of near copies and stays.
-MOST_TEMPLATE = 0.5
 #: Rows of per-page template hashes that may be broadcast; a shuffled join serves beyond.
 BROADCAST_ROWS = 200_000
 
@@ -227,17 +225,6 @@ def article_hash(root: Element) -> int:
     return _digest(" ".join(str(e.hash) for e in article_root(root)))
 
 
-def _template_size(start: Element, template: frozenset[int] | set[int]) -> int:
-    total, stack = 0, [c for c in start.children if isinstance(c, Element)]
-    while stack:
-        e = stack.pop()
-        if e.hash in template:
-            total += e.size
-        else:
-            stack += [c for c in e.children if isinstance(c, Element)]
-    return total
-
-
 def blocks(root: Element, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """The blocks of text of the article, in page order, white space made one space, without template subtrees and surroundings."""
     out: list[str] = []
@@ -251,9 +238,6 @@ def blocks(root: Element, template: frozenset[int] | set[int] = frozenset()) ->
             line.clear()
 
     for start in article_root(root):
-        own = template
-        if own and start.tag in ("article", "main") and _template_size(start, own) > MOST_TEMPLATE * start.size:
-            own = frozenset()
         stack: list[tuple[Element | str, bool]] = [(start, True)]
         while stack:
             e, opening = stack.pop()
@@ -263,7 +247,7 @@ def blocks(root: Element, template: frozenset[int] | set[int] = frozenset()) ->
             if not opening:
                 close()
                 continue
-            if e is not start and (surrounding(e) or e.hash in own):
+            if e is not start and (surrounding(e) or e.hash in template):
                 if e.tag in BLOCKS:
                     close()
                 continue
