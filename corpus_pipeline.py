@@ -29,15 +29,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that of the smallest id; of rows with equal id and text one."""
-    found = written(similar_documents(docs, "doc_id", "text"), "similar")
-    gone = written(found.where("key <> component_id").select(F.col("key").alias("doc_id")).distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    again = written(found.groupBy(F.col("key").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if again.count():
-        same = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(same)
-    return kept.select(*docs.columns)
+    """One document of each group of similar ones, that of the smallest id; of rows with equal id and text one.
+
+    Where ids are null or repeated, rows are numbered in order of id (null ones
+    last) and text, and the row of the smallest number stays.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    key = "doc_id"
+    columns = docs.columns
+    if repeated.limit(1).count():
+        key = "__row"
+        ordered = docs.dropDuplicates(["doc_id", "text"]).orderBy(F.col("doc_id").asc_nulls_last(), F.sha2("text", 256))
+        docs = written(ordered.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = similar_documents(docs, key, "text")
+    gone = written(found.where("key <> component_id").select(F.col("key").alias(key)), "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+    return kept.select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
