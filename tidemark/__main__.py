@@ -33,7 +33,7 @@ def main(args: list[str] | None = None) -> None:
     if a.verb == "ls":
         store.describe().show(1000, False)
     elif a.verb == "add":
-        print(store.ingest(a.table, a.source, a.ts).rows)
+        print(store.ingest(a.table, a.source, a.ts).total("rows"))
     elif a.verb == "history":
         store.table(a.table).history().orderBy("version").show(1000, False)
     elif a.verb == "sql":
@@ -45,7 +45,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.verb == "vacuum":
         print("\n".join(store.table(a.table).vacuum(a.keep, a.dry_run)))
     else:
-        first = min(s.min_ts for n in store.tables() for s in [store.table(n).state()] if s.min_ts is not None)
+        first = min(b.low for n in store.tables() for b in [store.table(n).version().bounds("ts")] if b.low is not None)
         at = lambda x: first + int(float(x) * 1e9) if x[0] == "+" else int(x)
         found, stats = store.window(at(a.t0), at(a.t1))
         for name, df in found.items():

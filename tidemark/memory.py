@@ -32,10 +32,10 @@ class Memory:
         table = self.store.table(TABLE)
         if TABLE in self.store.tables():
             own = own.join(table.dataframe().select("recording"), "recording", "left_anti").select("ts", "recording", "trace")
-        before = table.state().rows
+        before = table.version().total("rows")
         if own.isEmpty():
             return 0
-        return table.append(own, kind="embeddings").rows - before
+        return table.append(own, kind="embeddings").total("rows") - before
 
     def recordings(self) -> DataFrame:
         return self.store.table(TABLE).dataframe().select("recording", F.size("trace").alias("steps"))
@@ -59,5 +59,5 @@ class Memory:
         return self.query(row["trace"], k, leave_out=recording, **options)
 
     def stats(self) -> dict[str, int]:
-        state = self.store.table(TABLE).state()
-        return {"recordings": state.rows, "bytes": state.bytes, "version": state.version}
+        own = self.store.table(TABLE).version()
+        return {"recordings": own.total("rows"), "bytes": own.total("size"), "version": own.number}

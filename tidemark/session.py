@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(name: str = "tidemark", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -37,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its hosts share")
     if not _OWN_FOLDER:
         folder = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -52,10 +55,19 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str = "table", codec: str = "zstd") -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: computed once, whatever executors are lost later."""
     path = new_folder(df.sparkSession, what)
+    _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that written() made in this process, once the results that read them have been stored; how many."""
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        delete_folder(spark, _WRITTEN.pop())
+    return gone
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, wherever it is."""
     jvm = spark.sparkContext._jvm

@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 
 from tidemark.functions.predicates import conjunction, ranges_of
 from tidemark.sources.files import Files
-from tidemark.sources.log import FileEntry, Log, TableState
+from tidemark.sources.log import ENDS, Bounds, DataFile, Log, Version
 
 FORMAT = "tidemark/1"
 #: Rows of a file that compaction aims at.
 TARGET_ROWS = 4_000_000
-_ZONED = (T.IntegralType, T.FractionalType, T.StringType)
+#: Columns whose bounds the manifest keeps: simple ones whose values JSON can hold; of a wide table the first so many and the layout's own.
+_BOUNDED, MOST_BOUNDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType), 64
+#: Characters of a text that a bound keeps.
+BOUND_CHARS = 64
 
 
 @dataclass
@@ -36,11 +39,11 @@ class ReadStats:
     corpus_bytes: int = 0
     tables: list[str] = field(default_factory=list)
 
-    def charge(self, table: str, touched: list[FileEntry], state: TableState) -> None:
+    def charge(self, table: str, touched: list[DataFile], version: Version) -> None:
         self.files_touched += len(touched)
-        self.files_total += len(state.files)
-        self.bytes_touched += sum(f.bytes for f in touched)
-        self.corpus_bytes = max(self.corpus_bytes, state.bytes)
+        self.files_total += len(version.files)
+        self.bytes_touched += sum(f.size for f in touched)
+        self.corpus_bytes = max(self.corpus_bytes, version.total("size"))
         self.tables.append(table)
 
     @property
@@ -79,143 +82,151 @@ class Table:
 
     # writing
 
-    def _write(self, df: DataFrame, files: int | None, layout: dict | None) -> list[FileEntry]:
-        """Write rows as files of this table, outside any version, with their bounds."""
-        if layout:
-            keys = [layout["cluster"], *layout.get("sort", []), "ts"]
-            keys = list(dict.fromkeys(keys))
-            df = (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-        else:
-            df = (df.repartitionByRange(files, "ts") if files else df).sortWithinPartitions("ts")
+    def _write(self, df: DataFrame, files: int | None, layout: dict | None) -> list[DataFile]:
+        """Write rows as files of this table, outside any version, with the bounds of their columns."""
+        keys = list(dict.fromkeys([layout["cluster"], *layout["sort"], "ts"])) if layout else ["ts"]
+        if layout and layout["file_rows"] and files is None:
+            files = max(1, -(-df.count() // layout["file_rows"]))
+        if layout or files:
+            df = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
         draft = f"{self.folder}/_draft/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(draft)
-        sizes = {n: b for n, b, d in self.store.files.list(draft) if n.endswith(".parquet") and not d}
-        named = {n: f"{uuid.uuid4().hex}.parquet" for n in sizes}
+        df.sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(draft)
+        moved = {}
         self.store.files.make(f"{self.folder}/data")
-        for n, to in named.items():
-            self.store.files.move(f"{draft}/{n}", f"{self.folder}/data/{to}")
+        for name, size, is_folder in self.store.files.list(draft):
+            if name.endswith(".parquet") and not is_folder:
+                to = f"{uuid.uuid4().hex}.parquet"
+                self.store.files.move(f"{draft}/{name}", f"{self.folder}/data/{to}")
+                moved[to] = size
         self.store.files.delete(draft)
-        if not named:
+        if not moved:
             return []
-        back = {to: sizes[n] for n, to in named.items()}
-        rows = self._bounds(self.store.spark.read.schema(df.schema).parquet(*(f"{self.folder}/data/{to}" for to in back)), layout)
-        return [FileEntry(r["name"], r["n"], back[r["name"]], r["lo"], r["hi"], r["end"], {c: [r[f"lo_{c}"], r[f"hi_{c}"]] for c in self._zone_columns(df, layout) if r[f"lo_{c}"] is not None}) for r in rows if r["n"]]
+        back = self.store.spark.read.schema(df.schema).parquet(*(f"{self.folder}/data/{to}" for to in moved))
+        bounded = {f.name: F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, _BOUNDED)}
+        bounded = dict(list(bounded.items())[:MOST_BOUNDED]) | {k: F.col(f"`{k}`") for k in keys if k in bounded} | {ENDS: _end(df)}
+        # of a long text its beginning is a lower bound and says nothing of the upper one
+        short = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+        bounded = {k: F.substring(c, 1, BOUND_CHARS + 1) if k in short else c for k, c in bounded.items()}
+        sides = [side(c).alias(f"{i} {n}") for i, c in enumerate(bounded.values()) for n, side in enumerate((F.min, F.max))]
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+        rows = back.groupBy(name).agg(F.count(F.lit(1)).alias("n"), *sides).collect()  # a row a file, as in the manifest
+        open_end = lambda v: None if isinstance(v, str) and len(v) > BOUND_CHARS else v
+        return [DataFile(r["file"], r["n"], moved[r["file"]], {c: Bounds.of(r[f"{i} 0"], open_end(r[f"{i} 1"])) for i, c in enumerate(bounded)}) for r in rows]
 
     @staticmethod
-    def _zone_columns(df: DataFrame, layout: dict | None) -> list[str]:
-        wanted = [layout["cluster"], *layout.get("sort", [])] if layout else []
-        return [f.name for f in df.schema.fields if f.name in wanted and isinstance(f.dataType, _ZONED)]
-
-    def _bounds(self, df: DataFrame, layout: dict | None) -> list:
-        end = F.max("t1") if "t1" in df.columns else F.lit(None).cast("long")
-        zones = [a for c in self._zone_columns(df, layout) for a in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name")
-        return df.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), end.alias("end"), *zones).collect()  # a row a file, as in the manifest
-
-    def _checked(self, df: DataFrame, evolve: bool, state: TableState) -> DataFrame:
+    def _need_ts(df: DataFrame) -> None:
         if "ts" not in df.columns or not isinstance(df.schema["ts"].dataType, T.LongType):
             raise ValueError("a table needs a column ts of nanoseconds in a long")
-        if state.schema is None:
-            return df
-        own = T.StructType.fromJson(json.loads(state.schema))
-        known = {f.name: f.dataType for f in own.fields}
-        for f in df.schema.fields:
-            if f.name in known and known[f.name] != f.dataType:
-                raise ValueError(f"{f.name} is {known[f.name].simpleString()}, not {f.dataType.simpleString()}")
-        if not evolve and {f.name for f in df.schema.fields} != set(known):
-            raise ValueError("the columns differ from the table's; evolve=True allows new and missing ones")
-        return df
-
-    def _schema(self, df: DataFrame, state: TableState) -> str:
-        fields = {f.name: f for f in T.StructType.fromJson(json.loads(state.schema)).fields} if state.schema else {}
-        for f in df.schema.fields:
-            fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
-        return T.StructType(list(fields.values())).json()
-
-    def append(self, *batches: DataFrame, kind: str | None = None, evolve: bool = False, meta: dict | None = None) -> TableState:
-        """Add batches in one commit; empty ones are skipped, and nothing at all is an error."""
-        state, entries, schema = self.log.state(), [], None
+
+    @staticmethod
+    def _merged(batches: list[T.StructType], evolve: bool, version: Version) -> str:
+        """The table's schema once batches of these schemas are in it; types must agree, and columns too unless evolve."""
+        known = {f.name: f for f in T.StructType.fromJson(json.loads(version.schema)).fields} if version.schema else {}
+        for schema in batches:
+            if known and not evolve and set(schema.names) != set(known):
+                raise ValueError("the columns differ from the table's; evolve=True allows new and missing ones")
+            for f in schema.fields:
+                own = known.setdefault(f.name, T.StructField(f.name, f.dataType, True))
+                if own.dataType != f.dataType:
+                    raise ValueError(f"{f.name} is {own.dataType.simpleString()}, not {f.dataType.simpleString()}")
+        return T.StructType(list(known.values())).json()
+
+    def append(self, *batches: DataFrame, kind: str | None = None, evolve: bool = False, notes: dict | None = None) -> Version:
+        """Add batches in one commit; empty ones are skipped, and nothing at all is an error.
+
+        Schemas are checked before anything is written and again by the commit
+        itself, against whatever version it then follows.
+        """
+        version = self.log.at()
         for df in batches:
-            self._checked(df, evolve, state)
-            made = self._write(df, None, state.meta.get("layout"))
-            if made:
-                schema = self._schema(df, TableState(schema=schema or state.schema))
-                entries += made
-        if not entries:
+            self._need_ts(df)
+        self._merged([df.schema for df in batches], evolve, version)
+        made = [(df.schema, self._write(df, None, version.notes.get("layout"))) for df in batches]
+        filled = [schema for schema, files in made if files]
+        if not filled:
             raise ValueError("there are no rows to append")
-        return self.log.commit("append", entries, schema=schema, kind=kind, meta=meta)
+        return self.log.commit("append", [f for _, files in made for f in files], schema=lambda v: self._merged(filled, evolve, v), kind=kind, notes=notes)
 
-    def replace(self, df: DataFrame, kind: str | None = None, meta: dict | None = None) -> TableState:
+    def replace(self, df: DataFrame, kind: str | None = None, notes: dict | None = None) -> Version:
         """Swap all rows for others in one commit."""
-        state = self.log.state()
-        self._checked(df, True, TableState())
-        entries = self._write(df, None, state.meta.get("layout"))
-        if not entries:
+        version = self.log.at()
+        self._need_ts(df)
+        made = self._write(df, None, version.notes.get("layout"))
+        if not made:
             raise ValueError("a replacement needs rows")
-        return self.log.commit("replace", entries, [f.path for f in state.files], T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json(), kind, meta)
+        return self.log.commit("replace", made, list(version.by_name), lambda v: self._merged([df.schema], True, Version()), kind, notes)
 
-    def delete_range(self, t0: int, t1: int) -> TableState:
+    def delete_range(self, t0: int, t1: int) -> Version:
         """Delete rows with ts in [t0, t1]: covered files go, files that the range cuts are rewritten.
 
         Rows go by their ts alone, also in interval tables, which reads select by overlap.
         """
-        state = self.log.state()
-        hit = [f for f in state.files if f.min_ts <= t1 and f.max_ts >= t0]
-        cut = [f for f in hit if f.min_ts < t0 or f.max_ts > t1]
-        entries = self._write(self._read(state, cut).where(~F.col("ts").between(t0, t1)), max(1, len(cut)), state.meta.get("layout")) if cut else []
-        return self.log.commit("delete", entries, [f.path for f in hit]) if hit else state
+        version = self.log.at()
+        hit = [f for f in version.files if f.of("ts").may_meet(t0, t1)]
+        cut = [f for f in hit if not f.within("ts", t0, t1)]
+        made = self._write(self._read(version, cut).where(~F.col("ts").between(t0, t1)), max(1, len(cut)), version.notes.get("layout")) if cut else []
+        return self.log.commit("delete", made, [f.name for f in hit]) if hit else version
 
-    def compact(self, target_rows: int = TARGET_ROWS) -> TableState:
+    def compact(self, target_rows: int = TARGET_ROWS) -> Version:
         """Rewrite all files in the declared layout, about target_rows each."""
-        state = self.log.state()
-        if not state.files:
-            return state
-        entries = self._write(self._read(state, list(state.files)), -(-state.rows // target_rows), state.meta.get("layout"))
-        return self.log.commit("compact", entries, [f.path for f in state.files])
+        version = self.log.at()
+        if not version.files:
+            return version
+        made = self._write(self._read(version, version.files), -(-version.total("rows") // target_rows), version.notes.get("layout"))
+        return self.log.commit("compact", made, list(version.by_name))
 
-    def set_layout(self, cluster: str, sort: list[str] | None = None) -> TableState:
-        """Declare the cluster key and sort keys that later writes follow."""
-        return self.log.commit("layout", meta={"layout": {"cluster": cluster, "sort": sort or []}})
+    def set_layout(self, cluster: str, sort: list[str] | None = None, file_rows: int | None = None) -> Version:
+        """Declare the cluster key and sort keys that later writes follow, and the rows that their files aim at."""
+        return self.log.commit("layout", notes={"layout": {"cluster": cluster, "sort": sort or [], "file_rows": file_rows}})
 
-    def build_index(self, column: str) -> TableState:
+    def build_index(self, column: str) -> Version:
         """Write which files hold which values of a column, sorted by value; equality scans then open only those.
 
         Files that come later are not in it and are always opened, until it is built again.
         """
-        state = self.log.state()
+        version = self.log.at()
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
         path = f"{self.folder}/index/{uuid.uuid4().hex}"
-        pairs = self._read(state, list(state.files)).select(F.col(column).alias("value"), name).distinct()
+        pairs = self._read(version, version.files).select(F.col(column).alias("value"), name).distinct()
         pairs.repartitionByRange("value").sortWithinPartitions("value").write.parquet(path)
-        return self.log.commit("index", meta={f"index:{column}": {"path": path, "files": [f.path for f in state.files]}})
+        return self.log.commit("index", notes={f"index:{column}": {"path": path, "files": list(version.by_name)}})
 
-    def _indexed(self, state: TableState, column: str, values: list) -> set[str] | None:
+    def _indexed(self, version: Version, column: str, values: list) -> set[str] | None:
         """Files that can hold one of the values by the index; None without one."""
-        own = state.meta.get(f"index:{column}")
+        own = version.notes.get(f"index:{column}")
         if own is None:
             return None
         found = {r["file"] for r in self.store.spark.read.parquet(own["path"]).where(F.col("value").isin(list(values))).select("file").distinct().collect()}  # at most the manifest
-        return found | {f.path for f in state.files if f.path not in set(own["files"])}
+        return found | (set(version.by_name) - set(own["files"]))
 
     def vacuum(self, keep: int = 1, dry_run: bool = False) -> list[str]:
         """Delete data files that none of the last `keep` versions reaches; their names."""
-        versions = self.log.versions()[-keep:]
-        live = {f.path for v in versions for f in self.log.state(v).files}
-        dead = [n for n, _, d in self.store.files.list(f"{self.folder}/data") if not d and n not in live]
+        live = {n for v in self.log.numbers()[-keep:] for n in self.log.at(v).by_name}
+        dead = [n for n, _, is_folder in self.store.files.list(f"{self.folder}/data") if not is_folder and n not in live]
         for n in dead if not dry_run else []:
             self.store.files.delete(f"{self.folder}/data/{n}")
         return dead
 
     # reading
 
-    def _read(self, state: TableState, files: list[FileEntry]) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(state.schema)) if state.schema else T.StructType([T.StructField("ts", T.LongType())])
+    def _read(self, version: Version, files: list[DataFile]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(version.schema)) if version.schema else T.StructType([T.StructField("ts", T.LongType())])
         if not files:
             return self.store.spark.createDataFrame([], schema)
-        return self.store.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{f.path}" for f in files))
+        return self.store.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{f.name}" for f in files))
+
+    def _opened(self, version: Version, files: list[DataFile], stats: ReadStats | None = None) -> DataFrame:
+        """The rows of some files, charged to whoever measures."""
+        for s in [*([stats] if stats else []), *self.store.measuring]:
+            s.charge(self.name, files, version)
+        return self._read(version, files)
+
+    @staticmethod
+    def _projected(df: DataFrame, columns: list[str] | None) -> DataFrame:
+        return df.select("ts", *(c for c in columns if c != "ts")) if columns is not None else df
 
-    def state(self, version: int | None = None) -> TableState:
-        return self.log.state(version)
+    def version(self, number: int | None = None) -> Version:
+        return self.log.at(number)
 
     def dataframe(self, version: int | None = None) -> DataFrame:
         """All rows of a version; columns that a file lacks are null."""
@@ -224,56 +235,46 @@ class Table:
     def scan(self, t0: int | None = None, t1: int | None = None, columns: list[str] | None = None, version: int | None = None, predicate: str | None = None, stats: ReadStats | None = None) -> DataFrame:
         """Rows that overlap [t0, t1], both ends inclusive, and meet a conjunction like "speed > 3 and stream = 'a'".
 
-        Files are pruned by the manifest before Spark plans the scan; ts is
-        always among the columns.
+        A row ends at its t1, or at its ts where it has none.  Files are pruned by
+        the manifest before Spark plans the scan; ts is always among the columns.
         """
-        state = self.log.state(version)
+        own = self.log.at(version)
         tests = ranges_of(predicate) if predicate else []
-        files = [f for f in state.files if f.overlaps(t0, t1) and all(test(f) for test in tests)]
-        for s in [*([stats] if stats else []), *self.store.measuring]:
-            s.charge(self.name, files, state)
-        df = self._read(state, files)
-        end = "t1" if "t1" in df.columns else "ts"
+        files = [f for f in own.files if f.of("ts").may_meet(None, t1) and f.of(ENDS).may_meet(t0, None) and all(test(f) for test in tests)]
+        df = self._opened(own, files, stats)
         if t0 is not None:
-            df = df.where(F.coalesce(F.col(end), F.col("ts")) >= t0 if end == "t1" else F.col("ts") >= t0)
+            df = df.where(_end(df) >= t0)
         if t1 is not None:
             df = df.where(F.col("ts") <= t1)
         if predicate:
             df = df.where(conjunction(predicate, df.schema))
-        return df.select("ts", *(c for c in columns if c != "ts")) if columns is not None else df
+        return self._projected(df, columns)
 
     def scan_values(self, column: str, values: list, columns: list[str] | None = None, version: int | None = None, stats: ReadStats | None = None) -> DataFrame:
         """Rows whose column is one of the values."""
-        state = self.log.state(version)
-        files = [f for f in state.files if any(f.may_contain(column, v, v) for v in values)]
-        known = self._indexed(state, column, values)
-        files = [f for f in files if known is None or f.path in known]
-        for s in [*([stats] if stats else []), *self.store.measuring]:
-            s.charge(self.name, files, state)
-        df = self._read(state, files).where(F.col(column).isin(list(values)))
-        return df.select("ts", *(c for c in columns if c != "ts")) if columns is not None else df
+        own = self.log.at(version)
+        known = self._indexed(own, column, values)
+        files = [f for f in own.files if (known is None or f.name in known) and any(f.of(column).may_meet(v, v) for v in values)]
+        return self._projected(self._opened(own, files, stats).where(F.col(column).isin(list(values))), columns)
 
     def where(self, column: str, op: str, v: object, v2: object = None, columns: list[str] | None = None, version: int | None = None) -> DataFrame:
         """Rows by one comparison: ==, >=, <= or between."""
         low, high = {"==": (v, v), ">=": (v, None), "<=": (None, v), "between": (v, v2)}[op]
-        state = self.log.state(version)
-        files = [f for f in state.files if column not in f.zone or not (low is not None and f.zone[column][1] < low or high is not None and f.zone[column][0] > high)]
-        for s in self.store.measuring:
-            s.charge(self.name, files, state)
-        c = F.col(column)
-        df = self._read(state, files)
-        df = df.where(c.between(low, high) if low is not None and high is not None else c >= low if low is not None else c <= high)
-        return df.select("ts", *(c for c in columns if c != "ts")) if columns is not None else df
+        own = self.log.at(version)
+        df = self._opened(own, [f for f in own.files if f.of(column).may_meet(low, high)])
+        for bound, test in ((low, F.col(column) >= F.lit(low)), (high, F.col(column) <= F.lit(high))):
+            df = df.where(test) if bound is not None else df
+        return self._projected(df, columns)
 
     def history(self) -> DataFrame:
         """A row a commit: version, op, files and rows added, files removed."""
-        rows = [(c["version"], c["op"], c["at"], len(c["add"]), sum(f["rows"] for f in c["add"]), len(c["remove"])) for c in self.log.commits()]
+        rows = [(c["version"], c["op"], c["at"], len(c["enter"]), sum(rows for _, rows, _, _ in c["enter"]), len(c["leave"])) for c in self.log.commits()]
         return self.store.spark.createDataFrame(rows, "version long, op string, at_ns long, added_files long, added_rows long, removed_files long")
 
     def files(self, version: int | None = None) -> DataFrame:
-        """The manifest: a row a file."""
-        rows = [(f.path, f.rows, f.bytes, f.min_ts, f.max_ts, f.max_end, json.dumps(f.zone)) for f in self.log.state(version).files]
-        return self.store.spark.createDataFrame(rows, "path string, rows long, bytes long, min_ts long, max_ts long, max_end long, zone string")
+        """The manifest: a row a file, bounds as JSON."""
+        rows = [(f.name, f.rows, f.size, f.of("ts").low, f.of("ts").high, f.of(ENDS).high, json.dumps({c: [b.low, b.high] for c, b in f.bounds.items()})) for f in self.log.at(version).files]
+        return self.store.spark.createDataFrame(rows, "path string, rows long, bytes long, min_ts long, max_ts long, max_end long, bounds string")
 
 
 class Store:
@@ -303,9 +304,9 @@ class Store:
         return Table(self, name)
 
     def tables(self) -> list[str]:
-        return [n for n, _, d in self.files.list(f"{self.path}/tables") if d and self.table(n).log.versions()]
+        return [n for n, _, d in self.files.list(f"{self.path}/tables") if d and self.table(n).log.numbers()]
 
-    def ingest(self, name: str, source: str | DataFrame, ts: str = "ts", kind: str = "timeseries", evolve: bool = False) -> TableState:
+    def ingest(self, name: str, source: str | DataFrame, ts: str = "ts", kind: str = "timeseries", evolve: bool = False) -> Version:
         """Append a DataFrame, a CSV file (by name ending in .csv) or Parquet, its time column made nanoseconds in ts."""
         if isinstance(source, str):
             source = self.spark.read.option("header", True).option("inferSchema", True).csv(source) if source.endswith(".csv") else self.spark.read.parquet(source)
@@ -316,14 +317,14 @@ class Store:
 
     def snapshot(self) -> dict[str, int]:
         """The current version of every table, to be read later."""
-        return {n: self.table(n).state().version for n in self.tables()}
+        return {n: self.table(n).version().number for n in self.tables()}
 
     def window(self, t0: int, t1: int, tables: list[str] | None = None, columns: list[str] | None = None, version: dict[str, int] | None = None) -> tuple[dict[str, DataFrame], ReadStats]:
         """Rows of several tables that overlap [t0, t1]; tables of vectors only when named."""
         stats, out = ReadStats(), {}
         for n in tables if tables is not None else self.tables():
             t = self.table(n)
-            if tables is None and t.state().kind in ("embeddings", "centroids"):
+            if tables is None and t.version().kind in ("embeddings", "centroids"):
                 continue
             out[n] = t.scan(t0, t1, columns, (version or {}).get(n), stats=stats)
         return out, stats
@@ -336,7 +337,7 @@ class Store:
 
     def describe(self) -> DataFrame:
         """A row a table: kind, version, files, rows, bytes and bounds of ts."""
-        rows = [(n, s.kind, s.version, len(s.files), s.rows, s.bytes, s.min_ts, s.max_ts) for n in self.tables() for s in [self.table(n).state()]]
+        rows = [(n, v.kind, v.number, len(v.files), v.total("rows"), v.total("size"), v.bounds("ts").low, v.bounds("ts").high) for n in self.tables() for v in [self.table(n).version()]]
         return self.spark.createDataFrame(rows, "name string, kind string, version long, files long, rows long, bytes long, min_ts long, max_ts long")
 
     @contextlib.contextmanager
@@ -348,10 +349,15 @@ class Store:
             yield stats
         finally:
             self.measuring.remove(stats)
-            whole = sum(self.table(n).state().bytes for n in self.tables())
+            whole = sum(self.table(n).version().total("size") for n in self.tables())
             stats.corpus_bytes = max(stats.corpus_bytes, whole)
 
 
+def _end(df: DataFrame) -> Column:
+    """Where a row ends: its t1, or its ts without one."""
+    return F.coalesce(F.col("t1").cast("long"), F.col("ts")) if "t1" in df.columns else F.col("ts")
+
+
 def overlap(t0: object, t1: object, start: str = "ts", end: str = "t1") -> Column:
     """Whether [start, end] overlaps [t0, t1]."""
     return (F.col(end) >= t0) & (F.col(start) <= t1)

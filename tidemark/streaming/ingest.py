@@ -14,9 +14,9 @@ def append_stream(stream: DataFrame, store: Store, table: str, checkpoint: str,
     own = store.table(table)
 
     def one(batch: DataFrame, number: int) -> None:
-        if own.state().meta.get(f"batch:{checkpoint}", -1) >= number or batch.isEmpty():
+        if own.version().notes.get(f"batch:{checkpoint}", -1) >= number or batch.isEmpty():
             return
-        own.append(batch, evolve=True, meta={f"batch:{checkpoint}": number})
+        own.append(batch, evolve=True, notes={f"batch:{checkpoint}": number})
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
