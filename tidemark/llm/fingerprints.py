@@ -13,13 +13,16 @@ share of their anchors that match, position by position.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Units in a k-mer: 11 characters without white space, or two to three words.
 K = 8
-#: Documents aimed at in a block of neighbours, and most blocks.
-BLOCK_ROWS, MOST_BLOCKS = 400, 1 << 16
+#: Documents aimed at in a block of neighbours, most blocks, and rows of a sample for each.
+BLOCK_ROWS, MOST_BLOCKS, SAMPLED = 400, 1 << 16, 20
 
 
 def _let(value: Column, body: object) -> Column:
@@ -40,14 +43,14 @@ def anchors(text: Column, k: int = K) -> Column:
     """
 
     def chosen(h: Column) -> Column:
-        at = lambda i, d: F.get(h, i + F.lit(d))
-
-        def one(i: Column) -> Column:
-            own = [at(i, d) for d in range(k)]
-            low = F.least(*own)
-            return F.when((own[0] == low) | (own[-1] == low), F.struct(i.alias("position"), F.xxhash64(*own).alias("hash")))
-
-        many = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - k), one), lambda x: x.isNotNull())
+        def one(first: Column, i: Column) -> Column:
+            at = [first, *(F.get(h, i + F.lit(d)) for d in range(1, k))]
+            # an edge is compared until a smaller hash turns up, after two or three units as a rule; beyond the end all is null
+            left = reduce(lambda x, y: x & y, (at[0] <= u for u in at[1:]))
+            right = reduce(lambda x, y: x & y, (at[-1] <= u for u in at[-2::-1]))
+            return F.when(left | right, F.struct(i.alias("position"), F.xxhash64(*at).alias("hash")))
+
+        many = F.filter(F.transform(h, one), lambda x: x.isNotNull())
         short = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
         none = F.array().cast("array<struct<position:int,hash:bigint>>")
         return F.when(F.size(h) >= k, many).when(F.size(h) > 0, short).otherwise(none)
@@ -57,8 +60,7 @@ def anchors(text: Column, k: int = K) -> Column:
 
 def fingerprint(found: Column) -> Column:
     """Anchors as text, in order of position: sixteen hexadecimal digits of the hash and eight of the position for each."""
-    digits = lambda value, n: F.lpad(F.lower(F.hex(value)), n, "0")
-    return F.array_join(F.transform(found, lambda x: F.concat(digits(x["hash"], 16), digits(x["position"].cast("long"), 8))), "")
+    return F.lower(F.array_join(F.transform(found, lambda x: F.concat(F.lpad(F.hex(x["hash"]), 16, "0"), F.lpad(F.hex(x["position"].cast("long")), 8, "0"))), ""))
 
 
 def positional_matches(a: Column, b: Column) -> Column:
@@ -91,13 +93,31 @@ def positional_matches(a: Column, b: Column) -> Column:
     return _let(F.sort_array(F.concat(side(a, 0), side(b, 1))), paired)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard similarity of two texts' anchors, each at each of its positions: those in a positional match among those of both.
+def both_sides(a: Column, b: Column) -> Column:
+    """The hashes of two arrays of anchors in order, the lowest bit telling the array: equal hashes of both are neighbours."""
+    coded = lambda found, n: F.transform(found, lambda x: x["hash"].bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(n)))
+    return F.sort_array(F.concat(coded(a, 0), coded(b, 1)))
+
+
+def matches(s: Column) -> Column:
+    """How many pairs positional_matches() has, from both_sides(): of each hash as many as the text that has it less often."""
+    at = lambda i: F.get(s, i)
+    # where the second text's stretch of a hash begins; a hash is left when one of its stretches is used up
+    seams = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (at(i).bitwiseAND(F.lit(1)) == 1) & (at(i - 1) == at(i) - 1))
+
+    def further(state: Column, d: Column) -> Column:
+        left = F.filter(state["seams"], lambda i: (at(i + d) == at(i)) & (at(i - d - 1) == at(i) - 1))
+        return F.struct(left.alias("seams"), (state["n"] + F.size(state["seams"])).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.size(s) / 2).cast("int"))), F.struct(seams.alias("seams"), F.lit(0).alias("n")), further, lambda state: state["n"])
+
+
+def likeness(s: Column) -> Column:
+    """From both_sides(): the Jaccard similarity of two texts' anchors, each at each of its positions: those in a positional match among those of both.
 
     1 for two texts without anchors, 0 if only one has none.
     """
-    matches, places = F.size(positional_matches(a, b)), F.size(a) + F.size(b)
-    return F.when(places == 0, F.lit(1.0)).otherwise(_let(matches, lambda m: m.cast("double") / (places - m)))
+    return F.when(F.size(s) == 0, F.lit(1.0)).otherwise(_let(matches(s), lambda m: m.cast("double") / (F.size(s) - m)))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
@@ -107,43 +127,48 @@ def with_next(df: DataFrame, key: str, columns: list[str], derived: dict[str, Co
     of their block, so that neither the passes that place them nor the shuffle
     carry them; they have a next_<column> too.
 
-    Keys are cut into blocks at approximate quantiles; each block is sorted by
-    itself and takes the first row of the following block along.  Rows with
-    equal keys follow each other by a hash of the columns; null keys come last.
-    A single row is its own next.
+    Rows are in order of key and, within equal keys, of a hash of the columns;
+    null keys come last.  The order is cut into blocks at quantiles of a sample
+    that is bounded by the number of blocks, so a key that very many rows share,
+    or that is null, is many blocks; rows equal in key and columns are in one.
+    Each block is sorted by itself and takes the first row of the following block
+    along.  A single row is its own next; an empty table gives an empty one.
+    Columns of df whose names begin with "__" are lost.
     """
     spark = df.sparkSession
-    tie = F.xxhash64(*columns)
-    keys = df.select(F.col(key).cast("long").alias("k"))
-    n = keys.count()
-    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
-    steps = [i / blocks for i in range(1, blocks)]
-    cuts = sorted({c for c in (keys.select(F.percentile_approx("k", steps, max(10_000, 10 * blocks))).first()[0] or [])}) if steps else []
-    # two levels of cuts, so a row looks at about twice the square root of their number
-    width = max(1, int(len(cuts) ** 0.5))
-    coarse = cuts[::width]
+    names = [c for c in df.columns if not c.startswith("__")]
     k = F.col(key).cast("long")
-    literal = lambda xs: F.from_json(F.lit(str(xs)), "array<bigint>")
-    group = F.size(F.filter(literal(coarse), lambda c: c <= k))
-    fine = F.slice(literal(cuts), F.greatest((group - 1) * width + 1, F.lit(1)), width)
-    block = F.when(k.isNull(), F.lit(-1)).when(group == 0, F.lit(0)).otherwise((group - 1) * width + F.size(F.filter(fine, lambda c: c <= k))) if cuts else F.when(k.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    placed = df.select("*", block.cast("int").alias("__block"), tie.alias("__tie"))
-    order = [F.col(key).cast("long").desc_nulls_last(), F.col("__tie").desc()]
-    heads = placed.groupBy("__block").agg(F.max(F.struct(F.col(key).cast("long").alias("k"), F.col("__tie").alias("t"))).alias("head")).collect()  # a row a block
-    heads = sorted(((r["__block"], r["head"]["k"], r["head"]["t"]) for r in heads), reverse=True)
-    if not heads:
-        made = df.withColumns(derived or {})
-        return made.select("*", *(F.col(c).alias(f"next_{c}") for c in [*columns, *(derived or {})]))
-    after = [(b, heads[(i + 1) % len(heads)][1], heads[(i + 1) % len(heads)][2]) for i, (b, _, _) in enumerate(heads)]
-    firsts = spark.createDataFrame(after, "__to int, __k bigint, __t bigint")
-    tails = placed.join(F.broadcast(firsts), F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__tie") == F.col("__t")))
-    tails = tails.dropDuplicates(["__to"]).select(*df.columns, F.col("__to").alias("__block"), "__tie", F.lit(1).alias("__tail"))
-    rows = placed.withColumn("__tail", F.lit(0)).unionByName(tails)
+    place = F.struct(k.isNotNull().cast("int").alias("a"), F.coalesce(k, F.lit(0)).alias("k"), F.xxhash64(*columns).alias("t"))
+    rows = df.select(*names, place.alias("__place"))
+    n = df.count()
+    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
+    cuts: list[tuple[int, int, int]] = []
+    if blocks > 1:
+        share = min(1.0, SAMPLED * blocks / n)
+        own = rows.select("__place").where(F.pmod(F.xxhash64("__place"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+        drawn = sorted(tuple(r[0]) for r in own.limit(2 * SAMPLED * blocks).collect())  # about SAMPLED a block
+        cuts = sorted({drawn[i * len(drawn) // blocks] for i in range(1, blocks)}) if drawn else []
+    if cuts:
+        # two levels of cuts, so a row looks at about twice the square root of their number
+        width = max(1, int(len(cuts) ** 0.5))
+        literal = lambda xs: F.from_json(F.lit(json.dumps([dict(zip("akt", x)) for x in xs])), "array<struct<a:int,k:bigint,t:bigint>>")
+        below = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("__place")))
+        rows = rows.withColumn("__group", below(literal(cuts[::width])))
+        fine = F.slice(literal(cuts), F.greatest((F.col("__group") - 1) * width + 1, F.lit(1)), width)
+        rows = rows.withColumn("__block", F.when(F.col("__group") == 0, F.lit(0)).otherwise((F.col("__group") - 1) * width + below(fine)).cast("int"))
+    else:
+        rows = rows.withColumn("__block", F.lit(0))
+    heads = sorted(((r["__block"], tuple(r["head"])) for r in rows.groupBy("__block").agg(F.max("__place").alias("head")).collect()), reverse=True)  # a row a block
+    after = [(b, heads[(i + 1) % len(heads)][1]) for i, (b, _) in enumerate(heads)]
+    firsts = spark.createDataFrame(after, "__to int, __place struct<a:int,k:bigint,t:bigint>")
+    tails = rows.join(F.broadcast(firsts), "__place").dropDuplicates(["__to"])
+    placed = rows.select(*names, "__place", "__block", F.lit(0).alias("__tail"))
+    placed = placed.unionByName(tails.select(*names, "__place", F.col("__to").alias("__block"), F.lit(1).alias("__tail")))
     if derived:
-        rows = rows.repartition("__block").withColumns(derived)
-    window = Window.partitionBy("__block").orderBy("__tail", *order)
-    own = list(derived or {})
-    taken = rows.select(*df.columns, *own, "__tail", *(F.lead(c).over(window).alias(f"next_{c}") for c in [*columns, *own]))
+        placed = placed.repartition("__block").withColumns(derived)
+    window = Window.partitionBy("__block").orderBy("__tail", F.col("__place").desc())
+    made = [*columns, *(derived or {})]
+    taken = placed.select(*names, *(derived or {}), "__tail", *(F.lead(c).over(window).alias(f"next_{c}") for c in made))
     return taken.where("__tail = 0").drop("__tail")
 
 
@@ -152,7 +177,10 @@ def fingerprints_of_edits(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     The edited text of a row has its last third (rounded down, in characters)
     replaced by as many of the first characters of the row with the next smaller
-    key.  Null texts count as empty; a table of one row is its own next.
+    key.  Null texts count as empty; a table of one row is its own next, an empty
+    one gives no rows.  Rows of equal or null keys follow each other by a hash of
+    their texts.  Other columns, whatever their names, are not read.  Texts of any
+    length are taken whole.
     """
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     both = with_next(own, "key", ["text"], {"anchors": anchors(F.col("text"))})
@@ -161,4 +189,6 @@ def fingerprints_of_edits(df: DataFrame, key: str = "doc_id", text: str = "text"
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), third))
     out = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
     out = out.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors", anchors(F.col("edited")).alias("edited_anchors"))
-    return out.select("key", "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
+    a, b, c = F.col("anchors"), F.col("edited_anchors"), F.col("next_anchors")
+    out = out.select("key", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), both_sides(a, b).alias("with_edited"), both_sides(a, c).alias("with_next"))
+    return out.select("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("with_edited")).alias("near_edited"), likeness(F.col("with_next")).alias("near_next"))
