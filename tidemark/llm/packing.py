@@ -2,25 +2,34 @@
 
 A document of n ids fills n // capacity sequences by itself; its rest, one of
 capacity - 1 lengths, shares one.  The histogram of rests is the demand of a
-cutting-stock problem.  Its linear program over patterns (how many rests of each
-length make a sequence) is solved by column generation: a knapsack dynamic
-program over capacity finds the pattern with the best price under the current
-duals.  Patterns are rounded down, then up where demand allows; the documents of
-a length, ranked, fill their slots in order.  What rounding leaves is laid end
-to end into the gaps of the patterns and then into fresh sequences, cut where a
-gap ends, so only one sequence of all has padding beyond a pattern's own.
+cutting-stock problem.  Lengths are first merged into CLASSES sizes, each rounded
+up to the largest of its class, so that rounding wastes least.  The linear
+program over patterns (how many rests of each size make a sequence) is solved by
+column generation: a knapsack dynamic program over capacity finds patterns with
+the best price under the current duals.  Patterns are rounded down, then up where
+demand allows, and what demand is left makes patterns by first fit.  The
+documents of a size, ranked by length and then by place, fill their slots in
+order; since the histogram tells the length at each rank, a pattern falls apart
+into some patterns of exact lengths, whose gaps are known.
+
+The most wasteful sequences are then taken apart until their documents, laid end
+to end and cut where a gap ends, fill the gaps of all others; so only one
+sequence of all is not full, and few documents are cut.
 
 The driver holds the histogram and the patterns: at most capacity - 1 lengths
-and as many patterns, whatever the corpus.  Ranks come from counters inside
-tasks plus a running sum over tasks, so a length that a third of all documents
-share is no hot key.
+and some times as many patterns, whatever the corpus.  Ranks come from counters
+inside tasks plus a running sum over tasks, so a length that a third of all
+documents share is no hot key.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,96 +42,175 @@ from tidemark.llm.tokenize import encoder
 from tidemark.session import written
 
 #: The linear program stops when its value is within this part of a lower bound; what it leaves open costs cuts, not padding.
-GAP = 0.01
+GAP = 0.002
+#: Sizes that the linear program tells apart, and patterns that one dynamic program yields at most.
+CLASSES, COLUMNS = 128, 12
 #: Documents whose pieces a task makes at once.
 STEP = 1000
 #: Rows of the table of rank offsets that may be broadcast (24 bytes each); a shuffled join serves beyond.
 BROADCAST_ROWS = 2_000_000
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best total value of items of the sizes (each as often as wanted) within the capacity, and how often each is taken."""
-    useful = values > 1e-12
-    v, s = values[useful], sizes[useful]
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    if len(s):
-        order = np.argsort(s)
-        v, s, names = v[order], s[order], np.flatnonzero(useful)[order]
-        reach = np.searchsorted(s, np.arange(capacity + 1), side="right")
+class Knapsack:
+    """Best values of items of some sizes, each as often as wanted, within every capacity up to one."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.names = np.flatnonzero(values > 1e-12)
+        self.names = self.names[np.argsort(sizes[self.names], kind="stable")]
+        v, s = values[self.names], sizes[self.names]
+        self.best, self.choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        reach = np.searchsorted(s, np.arange(capacity + 1), side="right").tolist()
         for w in range(1, capacity + 1):
-            best[w] = best[w - 1]
+            value, pick = self.best[w - 1], -1
             if k := reach[w]:
-                total = best[w - s[:k]] + v[:k]
+                total = self.best[w - s[:k]] + v[:k]
                 top = int(total.argmax())
-                if total[top] > best[w] + 1e-12:
-                    best[w], choice[w] = total[top], top
-    taken, w = np.zeros(len(values)), capacity
-    while w > 0:
-        if choice[w] < 0:
-            w -= 1
-        else:
-            taken[names[choice[w]]] += 1
-            w -= int(s[choice[w]])
-    return float(best[capacity]), taken
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one a column) and how often each is used: a basis of the linear program, of a value within the gap of the best or after so many columns for each length."""
+                if total[top] > value + 1e-12:
+                    value, pick = total[top], top
+            self.best[w], self.choice[w] = value, pick
+
+    def pattern(self, first: int | None = None) -> np.ndarray:
+        """How often each item is taken, `first` once at least."""
+        taken, w = np.zeros(len(self.sizes)), self.capacity
+        if first is not None:
+            taken[first] += 1
+            w -= int(self.sizes[first])
+        while w > 0:
+            if self.choice[w] < 0:
+                w -= 1
+            else:
+                item = self.names[self.choice[w]]
+                taken[item] += 1
+                w -= int(self.sizes[item])
+        return taken
+
+
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The best total value of items of the sizes (each as often as wanted) within the capacity, and how often each is taken."""
+    own = Knapsack(values, sizes, capacity)
+    return float(own.best[capacity]), own.pattern()
+
+
+def _first_fit(left: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that take all of a demand: each the largest sizes that fit, as often as it can be used."""
+    out, left = [], left.copy()
+    while left.any():
+        own, room = np.zeros_like(left), capacity
+        for k in np.flatnonzero(left)[::-1]:
+            own[k] = min(left[k], room // sizes[k])
+            room -= own[k] * sizes[k]
+        n = int((left[own > 0] // own[own > 0]).min())
+        out.append((own, n))
+        left = left - own * n
+    return out
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one a column) and how often each is used: a basis of the linear program, of a value within the gap of the best or after so many dynamic programs for each size.
+
+    All patterns found are kept, and the program over them is solved anew by
+    simplex steps before the next dynamic program.  That prices by a mean of the
+    current duals and those of the best bound so far, which jump about less.
+    """
     m = len(sizes)
     fits = capacity // sizes
-    patterns = np.diag(fits.astype(float))
-    inverse = np.diag(1.0 / fits)
-    used = demand / fits
-    bound = max(float(demand @ sizes) / capacity, 1e-9)  # no packing has fewer sequences than its ids fill
+    pool = np.concatenate([np.diag(fits).astype(float), *(own[:, None] for own, _ in _first_fit(demand.astype(np.int64), sizes, capacity))], axis=1)
+    basis = np.arange(m)
+    shifted = demand + 1e-3 * np.arange(1, m + 1) / m  # no two sizes run out at once, so simplex steps do not go in circles
+    bound, steady = max(float(demand @ sizes) / capacity, 1e-9), sizes / capacity  # no packing has fewer sequences than its ids fill
     for _ in range(rounds * m + 50):
+        inverse = np.linalg.inv(pool[:, basis])
+        used = np.maximum(np.einsum("ij,j->i", inverse, shifted), 0)
+        for _ in range(20 * m):
+            duals = inverse.sum(axis=0)
+            prices = np.einsum("k,kp->p", duals, pool)  # not by threads, which cost more than so small a product
+            enter = int(prices.argmax())
+            if prices[enter] <= 1 + 1e-9:
+                break
+            step = np.einsum("ij,j->i", inverse, pool[:, enter])
+            ratio = np.full(m, np.inf)
+            up = step > 1e-9
+            ratio[up] = used[up] / step[up]
+            leave = int(ratio.argmin())
+            used = np.maximum(used - ratio[leave] * step, 0)
+            used[leave] = ratio[leave]
+            pivot = inverse[leave] / step[leave]
+            inverse -= np.outer(step, pivot)
+            inverse[leave] = pivot
+            basis[leave] = enter
+        duals = np.maximum(inverse.sum(axis=0), 0)
         if used.sum() <= bound * (1 + gap):
             break
-        duals = inverse.sum(axis=0)
-        price, column = knapsack(duals, sizes, capacity)
-        bound = max(bound, used.sum() / max(price, 1))  # Farley's
-        if price <= 1 + 1e-9 or used.sum() <= bound * (1 + gap):
-            break
-        step = inverse @ column
-        ratio = np.full(m, np.inf)
-        up = step > 1e-9
-        ratio[up] = np.maximum(used[up], 0) / step[up]
-        leave = int(ratio.argmin())
-        if not np.isfinite(ratio[leave]):
+        new: list[np.ndarray] = []
+        for trial in ((duals + steady) / 2, duals):
+            own = Knapsack(trial, sizes, capacity)
+            value = float(trial @ demand) / max(own.best[capacity], 1)  # Farley's
+            if value > bound:
+                bound, steady = value, trial / max(own.best[capacity], 1)
+            # the best pattern of all, and the best ones with an item of each of the best sizes
+            with_one = trial + own.best[capacity - sizes]
+            found = [own.pattern(), *(own.pattern(int(k)) for k in np.argsort(-with_one, kind="stable")[:COLUMNS])]
+            new = [c for c in found if duals @ c > 1 + 1e-9]
+            if new:
+                break
+        if not new or used.sum() <= bound * (1 + gap):
             break
-        amount = ratio[leave]
-        used = used - amount * step
-        used[leave] = amount
-        pivot = inverse[leave] / step[leave]
-        inverse -= np.outer(step, pivot)
-        inverse[leave] = pivot
-        patterns[:, leave] = column
-    return patterns.astype(np.int64), np.maximum(used, 0)
+        pool = np.concatenate([pool, *(c[:, None] for c in new)], axis=1)
+    return pool[:, basis].astype(np.int64), np.maximum(np.linalg.solve(pool[:, basis], demand), 0)
+
+
+def merge_lengths(lengths: np.ndarray, counts: np.ndarray, most: int = CLASSES) -> list[tuple[int, int]]:
+    """At most so many stretches (first, end) of the lengths, ascending; neighbours are merged where rounding the lower one up wastes least."""
+    after = list(range(1, len(lengths) + 1))
+    before = list(range(-1, len(lengths) - 1))
+    top, weight, alive = lengths.tolist(), counts.tolist(), len(lengths)
+    gone = [False] * alive
+    cost = lambda k: weight[k] * (top[after[k]] - top[k])
+    heap = [(cost(k), k) for k in range(alive - 1)]
+    heapify(heap)
+    while alive > most:
+        price, k = heappop(heap)
+        if gone[k] or after[k] >= len(top) or price != cost(k):
+            continue
+        other = after[k]  # k goes into the stretch above it
+        weight[other] += weight[k]
+        gone[k] = True
+        before[other] = before[k]
+        if before[k] >= 0:
+            after[before[k]] = other
+            heappush(heap, (cost(before[k]), before[k]))
+        if after[other] < len(top):
+            heappush(heap, (cost(other), other))
+        alive -= 1
+    ends = [k + 1 for k in range(len(top)) if not gone[k]]
+    return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
 @dataclass
 class Layout:
     """Where the rest of each rank within its length goes.
 
-    slots[length]: (first rank, ranks, per sequence, first sequence, offset).
-    loose[length]: (first rank, ranks, first position in the stream of loose ids).
-    gaps: (first position in the stream, width, gaps, first sequence, offset).
+    slots[length]: (first rank, ranks, first sequence, offset), one rank a sequence, ascending.
+    loose[length]: (first rank, first position in the stream of loose ids); they are a length's last ranks.
+    gaps: (first position in the stream, width, gaps, first sequence, offset), ascending.
     """
 
     capacity: int
     sequences: int = 0
-    slots: dict[int, list[tuple[int, int, int, int, int]]] = field(default_factory=dict)
-    loose: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
+    slots: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
+    loose: dict[int, tuple[int, int]] = field(default_factory=dict)
     gaps: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
     def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """(start within the rest, length, sequence, offset) of each piece of a rest."""
-        for first, n, per, sequence, offset in self.slots.get(length, ()):
-            if first <= rank < first + n:
-                turn, place = divmod(rank - first, per)
-                return [(0, length, sequence + turn, offset + place * length)]
-        first, _, begin = next(x for x in self.loose[length] if x[0] <= rank < x[0] + x[1])
+        first, begin = self.loose.get(length, (None, 0))
+        if first is None or rank < first:
+            own = self.slots[length]
+            first, _, sequence, offset = own[bisect_right(own, rank, key=itemgetter(0)) - 1]
+            return [(0, length, sequence + rank - first, offset)]
         at, out, done = begin + (rank - first) * length, [], 0
-        k = int(np.searchsorted([g[0] for g in self.gaps], at, side="right")) - 1
+        k = bisect_right(self.gaps, at, key=itemgetter(0)) - 1
         while done < length:
             start, width, n, sequence, offset = self.gaps[k]
             turn, place = divmod(at + done - start, width)
@@ -134,15 +222,14 @@ class Layout:
             done += take
         return out
 
+    def share_in_slots(self, histogram: dict[int, int]) -> float:
+        """The part of all rests that lie whole in a slot of a pattern."""
+        total = sum(n for k, n in histogram.items() if k)
+        return 1 - sum(histogram[k] - first for k, (first, _) in self.loose.items()) / total if total else 1.0
 
-def plan_layout(histogram: dict[int, int], capacity: int, gap: float = GAP) -> Layout:
-    """The layout of so many rests of each length (1 to capacity - 1)."""
-    layout = Layout(capacity)
-    sizes = np.array(sorted(k for k, n in histogram.items() if n and k), dtype=np.int64)
-    if not len(sizes):
-        return layout
-    left = np.array([histogram[int(k)] for k in sizes], dtype=np.int64)
-    patterns, used = column_generation(sizes, left.astype(float), capacity, gap)
+
+def _rounded(patterns: np.ndarray, used: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers of patterns that take all demand: used ones rounded down, then up where demand allows, then first fit."""
     times = np.floor(used + 1e-9).astype(np.int64)
     left = left - patterns @ times
     while (left < 0).any():  # floating-point error only
@@ -154,29 +241,63 @@ def plan_layout(histogram: dict[int, int], capacity: int, gap: float = GAP) -> L
         while patterns[:, p].any() and (patterns[:, p] <= left).all() and patterns[:, p] @ sizes >= capacity * 0.98:
             times[p] += 1
             left = left - patterns[:, p]
-    # sequences of a wasteful pattern are taken apart until the loose ids fill the gaps of the others
-    total = patterns.T @ sizes
-    for p in sorted(np.flatnonzero((times > 0) & (total < capacity)), key=lambda q: total[q]):
-        loose, waste = int(left @ sizes), int(((capacity - total) * times).sum())
-        apart = int(min(times[p], max(0, -(-(waste - loose) // capacity))))
-        times[p] -= apart
-        left = left + patterns[:, p] * apart
-    taken, stream, wide = np.zeros(len(sizes), dtype=np.int64), 0, []
-    for p in np.flatnonzero(times):
-        offset, n = 0, int(times[p])
-        for k in np.flatnonzero(patterns[:, p]):
-            per, size = int(patterns[k, p]), int(sizes[k])
-            layout.slots.setdefault(size, []).append((int(taken[k]), per * n, per, layout.sequences, offset))
-            taken[k] += per * n
-            offset += per * size
-        if offset < capacity:
-            wide.append((capacity - offset, n, layout.sequences, offset))
-        layout.sequences += n
-    for k in np.flatnonzero(left)[::-1]:
-        layout.loose[int(sizes[k])] = [(int(taken[k]), int(left[k]), stream)]
-        stream += int(left[k] * sizes[k])
+    return [*((patterns[:, p], int(times[p])) for p in np.flatnonzero(times)), *_first_fit(left, sizes, capacity)]
+
+
+def plan_layout(histogram: dict[int, int], capacity: int, gap: float = GAP, classes: int = CLASSES) -> Layout:
+    """The layout of so many rests of each length (1 to capacity - 1)."""
+    layout = Layout(capacity)
+    lengths = np.array(sorted(k for k, n in histogram.items() if n and k), dtype=np.int64)
+    if not len(lengths):
+        return layout
+    counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
+    stretches = merge_lengths(lengths, counts, classes)
+    sizes = np.array([lengths[b - 1] for _, b in stretches])
+    demand = np.array([counts[a:b].sum() for a, b in stretches])
+    whole = _rounded(*column_generation(sizes, demand.astype(float), capacity, gap), sizes, demand, capacity)
+    # sequences that are taken apart, those of the emptiest patterns first, are as many as all gaps would fill
+    waste = sum(n for _, n in whole) * capacity - int(counts @ lengths)
+    spare = -(-waste // capacity)
+    kept = []
+    for own, n in sorted(whole, key=lambda x: (int(x[0] @ sizes), x[0].tolist())):
+        apart = min(n, spare)
+        spare -= apart
+        if n > apart:
+            kept.append((own, n - apart))
+    # each slot of a pattern takes the next documents of its size, shortest first
+    steps = [np.cumsum(np.r_[0, counts[a:b]]) for a, b in stretches]
+    taken, wide = np.zeros(len(sizes), dtype=np.int64), []
+    for own, n in kept:
+        slots = []
+        for k in np.flatnonzero(own)[::-1]:
+            for _ in range(int(own[k])):
+                slots.append((int(k), int(taken[k])))
+                taken[k] += n
+        turn = 0
+        while turn < n:  # as long as no slot's length changes it is a pattern of exact lengths
+            run, offset = n - turn, 0
+            at = [int(np.searchsorted(steps[k], first + turn, side="right")) - 1 for k, first in slots]
+            run = min(run, *(int(steps[k][i + 1]) - first - turn for (k, first), i in zip(slots, at, strict=True)))
+            for (k, first), i in zip(slots, at, strict=True):
+                length = int(lengths[stretches[k][0] + i])
+                layout.slots.setdefault(length, []).append((first + turn - int(steps[k][i]), run, layout.sequences, offset))
+                offset += length
+            if offset < capacity:
+                wide.append((capacity - offset, run, layout.sequences, offset))
+            layout.sequences += run
+            turn += run
+    for own in layout.slots.values():
+        own.sort()
+    stream = 0
+    for k in range(len(sizes) - 1, -1, -1):
+        for i in range(len(steps[k]) - 2, -1, -1):
+            first = max(0, int(taken[k] - steps[k][i]))
+            count, length = int(steps[k][i + 1] - steps[k][i]), int(lengths[stretches[k][0] + i])
+            if first < count:
+                layout.loose[length] = (first, stream)
+                stream += (count - first) * length
     at = 0
-    for width, n, sequence, offset in wide:
+    for width, n, sequence, offset in sorted(wide, reverse=True):
         if at < stream:
             layout.gaps.append((at, width, n, sequence, offset))
             at += width * n

@@ -37,7 +37,7 @@ from tidemark.llm.tokenize import encoder
 from tidemark.session import new_folder
 
 MAGIC = b"TDMKIDS1"
-#: Documents (those with the smallest hashes) and ids of each that train the dictionary, and its size.
+#: Documents (drawn by hash) and ids of each that train the dictionary, and its size.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 2048, 64 << 10
 #: Bytes of frames that a reader holds at once.
 READ_BYTES = 4 << 20
@@ -122,6 +122,19 @@ class TokenFiles:
         return Shard(self.path(shard), self.dictionary)
 
 
+def sample_of(source: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """About so many different rows of (key, text), twice as many at most, by a threshold of their hash: no task gets more than these.
+
+    Beginnings of texts suffice, since only so many ids of each are used.
+    """
+    n = source.count()
+    rows = source.select("key", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"), F.xxhash64("key", "text").alias("hash"))
+    if n > documents:
+        rows = rows.where(F.pmod("hash", F.lit(1 << 40)) < int(documents / n * (1 << 40)))
+    # rows that are repeated have one hash, so all of them or none are drawn; they are one before they are counted
+    return rows.dropDuplicates(["hash"]).limit(2 * documents).orderBy("hash").select("key", "text")
+
+
 def write(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> TokenFiles:
     """Encode all texts and write them in ascending order of an integer key, nulls first.
 
@@ -133,7 +146,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text:
     spark = df.sparkSession
     folder = folder or new_folder(spark, "token-files")
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sample = source.select("key", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).orderBy(F.xxhash64("key", "text")).limit(SAMPLE_DOCUMENTS).toArrow()
+    sample = sample_of(source).toArrow()
     flat, at = encoder(path).encode(sample.column("text").combine_chunks()) if sample.num_rows else (np.zeros(0), [0])
     dictionary = train([np.append(flat[a : min(b, a + SAMPLE_IDS)], end_id).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
     fs, root = _file_system(folder)
@@ -200,7 +213,11 @@ def open_files(folder: str) -> TokenFiles:
 
 
 def read(spark: SparkSession, files: TokenFiles, ids: bool = True) -> DataFrame:
-    """A row per document from the shards: key, start (ids of all documents before), n_tokens, ids_crc32 and, if wanted, ids in bytes."""
+    """A row per document from the shards: key, start (ids of all documents before), n_tokens, ids_crc32 and, if wanted, ids in bytes.
+
+    Repeated and null keys have a row for each document that was written; a corpus
+    without shards has none.  A long document is one frame and is held whole.
+    """
     schema = "key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
     if not files.manifest:
         return spark.createDataFrame([], schema)
