@@ -1,10 +1,12 @@
 """WARC archives: a Spark data source with pushed header predicates, and a writer with revisit records.
 
-Reading: files are listed and cut into partitions on the driver, by the sidecar
-index of record offsets where a large file has one.  Each record is a gzip
-member; only its first bytes are inflated to parse the headers.  Records that
-fail a pushed predicate, and payloads that the schema does not ask for, are
-skipped without inflating the rest.
+Reading: files (.warc.gz and .warc) are listed and cut into partitions on the
+driver, by the sidecar index of record offsets where a file has one; index() makes
+them.  A reader holds a chunk of a file at a time and one decompressor a gzip
+member.  Headers are parsed first.  Of records that fail a pushed predicate, and
+of payloads that the schema does not ask for, nothing is decoded: with an index
+the reader goes on to the next offset, without one the bytes of a member run
+through the decompressor to find its end and are let go.
 
 Writing: records with equal payloads of MIN_REVISIT bytes or more become one
 response, that of the largest id, and revisits that refer to it.
@@ -36,6 +38,8 @@ MIN_REVISIT = 1000
 BROADCAST_ROWS = 500_000
 #: Bytes of an archive that one partition reads, where an index allows.
 SPLIT_BYTES = 128 << 20
+#: Bytes that are inflated at once, and read from a file at once.
+CHUNK, READ_AHEAD = 64 << 10, 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns of the source; payload_bytes is the length of the full payload, also of revisits.
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, content_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
@@ -69,45 +73,134 @@ def record(kind: str, record_id: str, uri: str | None, digest: bytes, length: in
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark names, and the path in it; Hadoop's names of object stores are pyarrow's."""
+    for own, known in (("s3a://", "s3://"), ("s3n://", "s3://"), ("gs://", "gs://")):
+        if path.startswith(own):
+            path = known + path[len(own) :]
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path)
+
+
+def archives(folder: str) -> list[tuple[str, int, str | None]]:
+    """(path, bytes, path of the index or None) of each archive of a folder, or of the one file."""
+    fs, root = file_system(folder)
+    info = fs.get_file_info(root)
+    found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    names = {f.path for f in found}
+    out = []
+    for f in sorted(found, key=lambda f: f.path):
+        if f.is_file and f.path.endswith((".warc.gz", ".warc")):
+            index = f.path.removesuffix(".gz").removesuffix(".warc") + ".idx"
+            out.append((f.path, f.size, index if index in names else None))
+    return out
+
+
+def ahead(f: object, end: int) -> object:
+    """Read a file in chunks: what a reader asks for next mostly lies in the chunk that it has."""
+    chunk, start = b"", 0
+
+    def read(n: int, at: int) -> bytes:
+        nonlocal chunk, start
+        if not start <= at < start + len(chunk):
+            chunk, start = f.read_at(min(READ_AHEAD, end - at), at), at
+        return chunk[at - start : at - start + n]
+
+    return read
+
+
 _URI = "".join(map(chr, range(33, 127)))
 
 
 @dataclass
 class Part(InputPartition):
+    """A stretch of an archive, and where its records start in the file if an index tells."""
+
     path: str
     start: int
     end: int
     offsets: list[int] | None
 
 
-def _members(data: bytes, offsets: list[int] | None) -> Iterator[bytes]:
-    """The gzip members of a stretch of an archive; without offsets each is inflated to find its end."""
-    if offsets is not None:
-        for a, b in zip(offsets, [*offsets[1:], len(data)], strict=True):
-            yield data[a:b]
-        return
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] != b"\x1f\x8b":
-            return
-        d = zlib.decompressobj(31)
-        rest = data[at:]
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
-        end = len(data) - len(d.unused_data)
-        yield data[at:end]
-        if not d.eof:
-            return
-        at = end
-
-
-def _head(d: object, have: bytes, mark: bytes = b"\r\n\r\n") -> tuple[bytes, bytes]:
-    """What stands before a mark and what is inflated beyond it so far."""
-    while mark not in have and d.unconsumed_tail:
-        have += d.decompress(d.unconsumed_tail, 4096)
-    a, _, b = have.partition(mark)
-    return a, b
+class Stream:
+    """The bytes of records end to end, a chunk at a time: inflated from gzip members, or as they stand."""
+
+    def __init__(self, read: object, start: int, end: int, packed: bool):
+        """read(bytes, at): a piece of the file."""
+        self.source, self.at, self.end, self.packed = read, start, end, packed
+        self.raw = b""  # read, not yet inflated
+        self.have = bytearray()  # inflated, not yet taken
+        self.inflater = None
+
+    def _more(self) -> bool:
+        """Inflate a little more of the member (or read on); False at its end."""
+        if not self.packed:
+            piece = self._next_raw()
+            self.have += piece
+            return bool(piece)
+        if self.inflater is None:
+            self.raw = self.raw or self._next_raw()
+            if not self.raw:
+                return False
+            self.inflater = zlib.decompressobj(31)
+        while not self.inflater.eof:
+            self.raw = self.raw or self._next_raw()
+            if not self.raw:
+                return False  # a file that ends inside a member
+            piece = self.inflater.decompress(self.raw, CHUNK)
+            self.raw = self.inflater.unconsumed_tail if not self.inflater.eof else self.inflater.unused_data
+            if piece:
+                self.have += piece
+                return True
+        return False
+
+    def _next_raw(self) -> bytes:
+        n = min(CHUNK, self.end - self.at)
+        piece = self.source(n, self.at) if n > 0 else b""
+        self.at += len(piece)
+        return piece
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which is taken too; None if the member ends before it."""
+        looked = 0
+        while (k := self.have.find(mark, looked)) < 0:
+            looked = max(0, len(self.have) - len(mark) + 1)
+            if not self._more():
+                return None
+        out = bytes(self.have[:k])
+        del self.have[: k + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.have) < n and self._more():
+            pass
+        out = bytes(self.have[:n])
+        del self.have[:n]
+        return out
+
+    def skip(self, n: int) -> None:
+        """Let so many bytes go, a chunk at a time."""
+        while n > len(self.have):
+            n -= len(self.have)
+            self.have.clear()
+            if not self.packed:  # bytes as they stand need not even be read
+                jump = max(0, min(n, self.end - self.at))
+                self.at += jump
+                return
+            if not self._more():
+                return
+        del self.have[:n]
+
+    def close_member(self) -> bool:
+        """Go to the next member; False at the end of the stretch."""
+        self.have.clear()
+        if self.packed:
+            while self.inflater is not None and self._more():
+                self.have.clear()
+            self.have.clear()
+            self.inflater = None
+        return bool(self.raw) or self.at < self.end
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -126,34 +219,57 @@ def _hexadecimal(digest: str | None) -> str | None:
     return base64.b32decode(value).hex() if len(value) == 32 else value.lower()
 
 
-def parse(member: bytes, wanted: list[str], tests: list[tuple[str, str, object]], verify: bool = False) -> tuple | None:
-    """The wanted columns of a record, or None if a test on its headers fails."""
-    d = zlib.decompressobj(31)
-    head, rest = _head(d, d.decompress(member, 1024))
-    fields = _fields(head)
+def record_at(stream: Stream, wanted: list[str], tests: list[tuple[str, str, object]], verify: bool = False) -> tuple[tuple | None, int] | None:
+    """The wanted columns of the record that begins here (None if a test on its headers fails) and the bytes of its block that are left; None at the end."""
+    head = stream.until(b"\r\n\r\n")
+    if head is None or not head.lstrip().startswith(b"WARC/"):
+        return None
+    fields = _fields(head.lstrip())
     values: dict[str, object] = {c: fields.get(h) for c, h in HEADERS.items()}
     values["payload_digest"] = _hexadecimal(values["payload_digest"])
+    left = int(fields.get("content-length", "0"))
     for column, op, value in tests:
         own = values[column]
         if not (own == value if op == "=" else own in value if op == "in" else own is not None and own.startswith(value) if op == "starts" else (own is None) == value):
-            return None
-    http = (fields.get("content-type") or "").startswith("application/http")
-    block = int(fields.get("content-length", "0"))
+            return None, left
     if "payload_bytes" in wanted or "payload" in wanted or verify:
-        length, before = None, 0
-        if http:
-            inner, rest = _head(d, rest)
-            before = len(inner) + 4
+        length = None
+        if (fields.get("content-type") or "").startswith("application/http"):
+            inner = stream.until(b"\r\n\r\n") or b""
+            left -= len(inner) + 4
             length = _fields(inner).get("content-length")
-        size = block - before
-        values["payload_bytes"] = int(length) if length is not None and values["record_type"] == "revisit" else size
-        body = None
-        if ("payload" in wanted or verify) and values["record_type"] != "revisit":
-            body = (rest + d.decompress(d.unconsumed_tail) + d.flush())[:size]
+        revisit = values["record_type"] == "revisit"
+        values["payload_bytes"] = int(length) if length is not None and revisit else left
+        values["payload"] = None
+        if ("payload" in wanted or verify) and not revisit:
+            values["payload"] = body = stream.take(left)
+            left = 0
             if verify and len(str(values["payload_digest"])) == 40 and hashlib.sha1(body).hexdigest() != values["payload_digest"]:
                 raise ValueError(f"the payload of {values['record_id']} does not have its digest")
-        values["payload"] = body
-    return tuple(values[c] for c in wanted)
+    return tuple(values[c] for c in wanted), left
+
+
+def records(read: object, part: Part, wanted: list[str], tests: list[tuple[str, str, object]], verify: bool = False) -> Iterator[tuple]:
+    """The records of a stretch that pass the tests."""
+    packed = part.path.endswith(".gz")
+    if part.offsets is not None:
+        for a, b in zip(part.offsets, [*part.offsets[1:], part.end], strict=True):
+            found = record_at(Stream(read, a, b, packed), wanted, tests, verify)
+            if found is not None and found[0] is not None:
+                yield found[0]
+        return
+    stream = Stream(read, part.start, part.end, packed)
+    while True:
+        found = record_at(stream, wanted, tests, verify)
+        if found is not None and found[0] is not None:
+            yield found[0]
+        if packed:
+            if not stream.close_member():
+                return
+        elif found is None:
+            return
+        else:
+            stream.skip(found[1] + 4)
 
 
 class WarcReader(DataSourceReader):
@@ -182,40 +298,27 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Part]:
-        fs, root = pafs.FileSystem.from_uri(self.path)
-        info = fs.get_file_info(root)
-        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        names = {f.path for f in found}
         parts = []
-        for f in sorted(found, key=lambda f: f.path):
-            if not f.is_file or not f.path.endswith(".warc.gz"):
-                continue
-            index = f.path.removesuffix(".warc.gz") + ".idx"
-            if index not in names:
-                parts.append(Part(f.path, 0, f.size, None))
+        for path, size, index in archives(self.path):
+            if index is None:
+                parts.append(Part(path, 0, size, None))
                 continue
-            with fs.open_input_stream(index) as stream:
+            with file_system(self.path)[0].open_input_stream(index) as stream:
                 offsets = [int(x) for x in stream.read().split()]
             at = 0
             while at < len(offsets):
                 to = at + 1
                 while to < len(offsets) and offsets[to] - offsets[at] < self.split:
                     to += 1
-                end = offsets[to] if to < len(offsets) else f.size
-                parts.append(Part(f.path, offsets[at], end, [x - offsets[at] for x in offsets[at:to]]))
+                parts.append(Part(path, offsets[at], offsets[to] if to < len(offsets) else size, offsets[at:to]))
                 at = to
         return parts or [Part("", 0, 0, [])]
 
     def read(self, part: Part) -> Iterator[tuple]:
         if not part.path:
             return
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_file(part.path) as f:
-            data = f.read_at(part.end - part.start, part.start)
-        for member in _members(data, part.offsets):
-            row = parse(member, self.wanted, self.tests, self.verify)
-            if row is not None:
-                yield row
+        with file_system(self.path)[0].open_input_file(part.path) as f:
+            yield from records(ahead(f, part.end), part, self.wanted, self.tests, self.verify)
 
 
 class WarcSource(DataSource):
@@ -257,11 +360,11 @@ def write(df: DataFrame, key: str = "page_id", uri: str = "url", payload: str =
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     rows = rows.join(heads, (rows["digest"] == heads["digest"]) & long, "left").select("key", "uri", "payload", rows["digest"], F.when(~F.col("key").eqNullSafe(F.col("head")), F.col("head")).alias("refers"))
-    fs, root = pafs.FileSystem.from_uri(folder)
+    fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, into = pafs.FileSystem.from_uri(folder)
+        files, into = file_system(folder)
         part, out, at, offsets = TaskContext.get().partitionId(), None, 0, []
         temporary = f"{into}/.{uuid.uuid4().hex}"
         for batch in batches:
@@ -289,7 +392,51 @@ def write(df: DataFrame, key: str = "page_id", uri: str = "url", payload: str =
     return folder
 
 
+def index(spark: SparkSession, folder: str) -> int:
+    """Write the index of record offsets of every archive in a folder that has none, a task an archive; how many were written.
+
+    Large archives of other writers are read by many tasks afterwards.
+    """
+    todo = [(path, size) for path, size, own in archives(folder) if own is None]
+    if not todo:
+        return 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(folder)
+        for batch in batches:
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                offsets, packed = [], path.endswith(".gz")
+                with fs.open_input_file(path) as f:
+                    stream, more = Stream(ahead(f, size), 0, size, packed), size > 0
+                    while more:
+                        start = stream.at - len(stream.raw) - (0 if packed else len(stream.have))
+                        found = record_at(stream, ["record_type"], [])
+                        if found is not None:
+                            offsets.append(start)
+                        if packed:
+                            more = stream.close_member()
+                        elif found is not None:
+                            stream.skip(found[1] + 4)
+                            more = len(stream.have) > 0 or stream.at < size
+                        else:
+                            more = False
+                base = path.removesuffix(".gz").removesuffix(".warc")
+                temporary = f"{base}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(temporary) as out:
+                    out.write("\n".join(map(str, offsets)).encode())
+                fs.move(temporary, f"{base}.idx")
+            yield batch
+
+    spark.createDataFrame(todo, "path string, size long").repartition(len(todo), "path").mapInArrow(run, "path string, size long").collect()  # a row an archive
+    return len(todo)
+
+
 def read(spark: SparkSession, folder: str, columns: str = SCHEMA, verify: bool = False) -> DataFrame:
-    """The records of a folder of archives; only the columns of the given schema are decoded."""
+    """The records of a folder of archives; only the columns of the given schema are decoded.
+
+    Archives of any size are read in chunks; one payload at a time is held whole,
+    if it is asked for.  Record ids may repeat, and a record without a header has
+    null there.  An empty folder gives no rows.
+    """
     register(spark)
     return spark.read.format("warc").schema(columns).option("verify", str(verify).lower()).load(folder)
