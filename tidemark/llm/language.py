@@ -4,6 +4,7 @@ Each n-gram of one to three lower-case characters falls in one of a fixed number
 of buckets.  Training counts buckets by language on a bounded sample of labelled
 rows; the matrix of log-probabilities, languages by buckets, is broadcast, and
 batches of whole texts are scored in numpy by gathering and summing rows.
+A score is the posterior of the language, which for long texts is close to 1.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ ORDERS = (1, 2, 3)
 #: Labelled rows that training reads about at most, drawn by a hash of their text.
 SAMPLE_ROWS = 20_000
 SMOOTHING = 0.25
-#: A text's evidence counts as that of so many n-grams at most, so scores of long texts do not all round to 1.
-EVIDENCE = 60
 UNKNOWN = "und"
 _PARTS = 8
 _SALT = mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -68,6 +67,8 @@ class Model:
     languages: list[str]
     weights: np.ndarray
     priors: np.ndarray
+    #: If given, the likelihood of a longer text counts as that of so many n-grams; a tempered score is no posterior.
+    evidence: int | None = None
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Posterior of each language for each text."""
@@ -78,17 +79,20 @@ class Model:
             if has.any():
                 first = np.r_[0, np.cumsum(count)][:-1][has]
                 total[has] += np.add.reduceat(self.weights[own], first, axis=0)
-        logits = self.priors + total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
+        if self.evidence is not None:
+            total *= np.minimum(1.0, self.evidence / np.maximum(grams, 1))[:, None]
+        logits = self.priors + total
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def train(df: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE_ROWS) -> Model | None:
+def train(df: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE_ROWS, evidence: int | None = None) -> Model | None:
     """Fit on rows with a text and a label; None without any.
 
-    About `sample` rows at most are read, those with the smallest hashes of
-    their text, whatever the table's size.  The driver holds a count per
-    language and a matrix of counts.
+    Texts are counted once with each label, however often they are repeated; of a
+    table of more rows about `sample` of them are read, drawn by a hash of the
+    text.  Priors are the shares of all labelled rows.  evidence: see Model.  The
+    driver holds a count per language and a matrix of counts.
     """
     rows = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
@@ -98,6 +102,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", sample: int =
     total = sum(counts.values())
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    rows = rows.groupBy(F.xxhash64("text").alias("hash"), "label").agg(F.first("text").alias("text")).select("text", "label")
     number = {c: i for i, c in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", sample: int =
     smooth = table + SMOOTHING
     weights = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
     priors = np.log(np.array([counts[c] for c in languages], dtype=float) / total)
-    return Model(languages, np.ascontiguousarray(weights, dtype=np.float32), priors)
+    return Model(languages, np.ascontiguousarray(weights, dtype=np.float32), priors, evidence)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
