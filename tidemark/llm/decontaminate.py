@@ -8,13 +8,14 @@ wavelet matrix, with suffix positions sampled.  All windows of the benchmark are
 searched backwards at once, a wavelet rank for each word; occurrences are located
 by walking to the next sampled suffix, and their spans are merged.
 
-The benchmark is taken in blocks of bounded size, each broadcast; documents pass
-all blocks in one pass over the table, without a shuffle.
+The benchmark's vocabulary is broadcast, and its windows in blocks of bounded
+size.  Documents pass once, without a shuffle: a shard is indexed once and the
+blocks are searched in it one after the other, each held only for its turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ SAMPLED = 8
 #: Words are letters a-z after lower-casing, digits, and every character beyond ASCII.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-SPANS = "array<struct<start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 class WaveletMatrix:
@@ -132,9 +133,8 @@ class FMIndex:
 
 @dataclass
 class Windows:
-    """The different windows of a block of items: vocabulary hashes in order, windows as rows of numbers from 1, and items by window."""
+    """The different windows of a block of items, as rows of numbers of a vocabulary from 1, and the items of each."""
 
-    vocabulary: np.ndarray
     patterns: np.ndarray
     lengths: np.ndarray
     items: list[list[str]]
@@ -148,10 +148,10 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_runs(data, starts, ends), before
 
 
-def item_windows(ids: list[str], texts: pa.Array, window: int = WINDOW) -> Windows:
+def item_windows(ids: list[str], texts: pa.Array, vocabulary: np.ndarray, window: int = WINDOW) -> Windows:
+    """The windows of items whose words all are in the vocabulary (hashes in order)."""
     hashes, before = word_hashes(texts)
-    vocabulary, numbers = np.unique(hashes, return_inverse=True)
-    numbers = numbers + 1
+    numbers = np.searchsorted(vocabulary, hashes) + 1
     found: dict[bytes, set[str]] = {}
     for k, item in enumerate(ids):
         own = numbers[before[k] : before[k + 1]].astype(np.int64)
@@ -162,73 +162,80 @@ def item_windows(ids: list[str], texts: pa.Array, window: int = WINDOW) -> Windo
     for k, raw in enumerate(found):
         row = np.frombuffer(raw, dtype=np.int64)
         patterns[k, : len(row)], lengths[k] = row, len(row)
-    return Windows(vocabulary, patterns, lengths, [sorted(x) for x in found.values()])
-
-
-def search_shard(texts: pa.Array, block: Windows) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
-    """For each row of a shard: its words, merged spans of hit words, and the items that occur."""
-    hashes, before = word_hashes(texts)
-    rows = len(before) - 1
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-    items: list[list[str]] = [[] for _ in range(rows)]
-    n_words = np.diff(before)
-    if not len(block.patterns) or not len(hashes):
-        return n_words, spans, items
-    at = np.searchsorted(block.vocabulary, hashes)
-    at[at == len(block.vocabulary)] = 0
-    number = np.where(block.vocabulary[at] == hashes, at + 1, 0)
-    # maximal stretches of known words inside a row, of the shortest window's length or more
-    known = number > 0
-    begin, end = known.copy(), known.copy()
-    begin[1:] &= ~known[:-1]
-    end[:-1] &= ~known[1:]
-    edges = before[1:-1]
-    edges = edges[(edges > 0) & (edges < len(known))]
-    begin[edges], end[edges - 1] = known[edges], known[edges - 1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    long = ends - starts >= int(block.lengths.min())
-    starts, ends = starts[long], ends[long]
-    if not len(starts):
-        return n_words, spans, items
-    size = ends - starts
-    place = ragged(starts, size)  # the word of each symbol, separators left out
-    stops = np.cumsum(size + 1)
-    text = np.zeros(int(stops[-1]), dtype=np.int64)
-    slots = ragged(stops - size - 1, size)
-    text[slots] = number[place]
-    word_of = np.zeros(len(text), dtype=np.int64)
-    word_of[slots] = place
-    index = FMIndex(text, len(block.vocabulary) + 1)
-    low, high = index.search(block.patterns, block.lengths)
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return n_words, spans, items
-    times = high[hit] - low[hit]
-    first = word_of[index.locate(ragged(low[hit], times))]
-    which = np.repeat(hit, times)
-    row = np.searchsorted(before, first, side="right") - 1
-    change = np.zeros(len(hashes) + 1, dtype=np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + block.lengths[which], -1)
-    covered = np.cumsum(change[:-1]) > 0
-    for k in np.unique(row).tolist():
-        own = covered[before[k] : before[k + 1]].astype(np.int8)
-        edge = np.flatnonzero(np.diff(np.r_[0, own, 0]))
-        spans[k] = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-    for k, p in sorted(set(zip(row.tolist(), which.tolist(), strict=True))):
-        items[k] += block.items[p]
-    return n_words, spans, [sorted(set(x)) for x in items]
-
-
-def merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of two lists of spans, touching ones joined."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted([*a, *b]):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
+    return Windows(patterns, lengths, [sorted(x) for x in found.values()])
+
+
+class Shard:
+    """Rows of text and the FM-index of their stretches of known words."""
+
+    def __init__(self, texts: pa.Array, vocabulary: np.ndarray, shortest: int = 1):
+        """shortest: words of the shortest window; stretches of fewer cannot hold one."""
+        hashes, self.before = word_hashes(texts)
+        self.n_words, self.words = np.diff(self.before), len(hashes)
+        self.index = None
+        if not len(vocabulary) or not len(hashes):
+            return
+        at = np.searchsorted(vocabulary, hashes)
+        at[at == len(vocabulary)] = 0
+        known = vocabulary[at] == hashes
+        begin, end = known.copy(), known.copy()
+        begin[1:] &= ~known[:-1]
+        end[:-1] &= ~known[1:]
+        edges = self.before[1:-1]
+        edges = edges[(edges > 0) & (edges < len(known))]
+        begin[edges], end[edges - 1] = known[edges], known[edges - 1]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        long = ends - starts >= shortest
+        starts, size = starts[long], (ends - starts)[long]
+        if not len(starts):
+            return
+        place = ragged(starts, size)  # the word of each symbol, separators left out
+        stops = np.cumsum(size + 1)
+        text = np.zeros(int(stops[-1]), dtype=np.int64)
+        slots = ragged(stops - size - 1, size)
+        text[slots] = at[place] + 1
+        self.word_of = np.zeros(len(text), dtype=np.int64)
+        self.word_of[slots] = place
+        self.index = FMIndex(text, len(vocabulary) + 1)
+
+    def search(self, blocks: Iterable[Windows]) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
+        """For each row the merged spans of words hit by a window of any block, and the items that occur."""
+        rows = len(self.n_words)
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+        items: list[set[str]] = [set() for _ in range(rows)]
+        change, hit_rows = None, set()
+        for block in blocks if self.index is not None else ():
+            if not len(block.patterns):
+                continue
+            low, high = self.index.search(block.patterns, block.lengths)
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
+            times = high[hit] - low[hit]
+            first = self.word_of[self.index.locate(ragged(low[hit], times))]
+            which = np.repeat(hit, times)
+            row = np.searchsorted(self.before, first, side="right") - 1
+            if change is None:
+                change = np.zeros(self.words + 1, dtype=np.int64)
+            np.add.at(change, first, 1)
+            np.add.at(change, first + block.lengths[which], -1)
+            hit_rows.update(np.unique(row).tolist())
+            for k, p in set(zip(row.tolist(), which.tolist(), strict=True)):
+                items[k].update(block.items[p])
+        if change is not None:
+            covered = np.cumsum(change[:-1]) > 0
+            for k in hit_rows:
+                edge = np.flatnonzero(np.diff(np.r_[0, covered[self.before[k] : self.before[k + 1]].astype(np.int8), 0]))
+                spans[k] = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+        return spans, [sorted(x) for x in items]
+
+
+def _released(shared: list) -> Iterator[Windows]:
+    """The values of broadcasts one after the other; a worker lets each go before it loads the next."""
+    for one in shared:
+        yield one.value
+        if len(shared) > 1:
+            vars(one).pop("_value", None)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -237,36 +244,41 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     A word is hit inside any occurrence of `window` consecutive words of an
     item, or of a whole shorter item.  Null and empty texts have no words, items
     without words no windows; a null item id is the empty text; repeated items
-    and rows are as good as single ones.  Input columns named like the new ones
-    are replaced.
+    and rows are as good as single ones.  Texts of any length are searched whole;
+    an empty table gives an empty one, an empty benchmark hits nothing.  Input
+    columns named like the new ones are replaced.  The driver holds the benchmark
+    while it plans; tasks hold its vocabulary and one block of windows.
     """
     text_batches(df.sparkSession)
     new = ("n_words", "spans", "items")
     kept = [c for c in (keep if keep is not None else df.columns) if c not in new]
     given = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    out = df.select(*kept, F.col(text).alias("__text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    fields = [f for f in out.schema.fields]
-    schema = T.StructType(fields)
-    for b in range(blocks):
-        chosen = given if blocks == 1 else given.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
+    n = max(1, -(-int(total) // block_bytes))
+    vocabulary, parts = np.zeros(0, dtype=np.uint64), []
+    for b in range(n):
+        chosen = given if n == 1 else given.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
         rows = chosen.toArrow()  # a block's items
-        block = item_windows(rows.column("id").to_pylist(), rows.column("text").combine_chunks(), window) if rows.num_rows else item_windows([], pa.array([], pa.string()), window)
-        shared = df.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in windows(batch, "__text", SHARD_BYTES):
-                    n, spans, items = search_shard(part.column("__text"), shared.value)
-                    if blocks > 1:
-                        spans = [merge([(s["start"], s["end"]) for s in old], s_new) for old, s_new in zip(part.column("spans").to_pylist(), spans, strict=True)]
-                        items = [sorted({*old, *i_new}) for old, i_new in zip(part.column("items").to_pylist(), items, strict=True)]
-                    got = pa.array([[{"start": a, "end": e} for a, e in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*kept, "__text"]), pa.array(n.astype(np.int64)), got, pa.array(items, pa.list_(pa.string()))], names=[*kept, "__text", *new])
-
-        out = out.mapInArrow(run, schema)
-    return out.drop("__text")
+        parts.append((rows.column("id").to_pylist(), pa.array(rows.column("text").to_pylist(), pa.string())))
+        vocabulary = np.union1d(vocabulary, word_hashes(parts[-1][1])[0])
+    context = df.sparkSession.sparkContext
+    known, shared, shortest = context.broadcast(vocabulary), [], window
+    while parts:
+        block = item_windows(*parts.pop(), vocabulary, window)
+        shortest = min(shortest, int(block.lengths.min(initial=window)))
+        shared.append(context.broadcast(block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in windows(batch, "__text", SHARD_BYTES):
+                shard = Shard(part.column("__text"), known.value, shortest)
+                spans, items = shard.search(_released(shared))
+                got = pa.array([[{"start": a, "end": e} for a, e in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(shard.n_words.astype(np.int64)), got, pa.array(items, pa.list_(pa.string()))], names=[*kept, *new])
+
+    source = df.select(*kept, F.col(text).alias("__text"))
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    return source.mapInArrow(run, schema)
 
 
 def n_hit(spans: str = "spans") -> Column:
