@@ -23,8 +23,10 @@ their beginnings (a quarter of each set and SHARED - 1 members more), so:
     are cut into blocks by distance and pairs of blocks are joined, each by a
     tree of its own.
 
-Equal sets are one set from the start.  Nothing but counters, block counts and
-single sets of split groups reaches the driver.
+Equal sets are one set from the start.  Groups, blocks and their pairs are tables;
+the driver gets the counters of the sketch and some sums.  A side of a join is
+broadcast where a sum of its bytes is small, and else dealt with salt, so a
+group of any size is many tasks.
 """
 
 from __future__ import annotations
@@ -53,8 +55,8 @@ GROUP_SETS, BLOCK_SETS = 400, 200
 COMBINED_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 #: Members of their beginnings that linked sets share at least, and sets of an n-gram up to which pairs are looked at one by one.
 SHARED, SMALL_BLOCK = 3, 16
-#: Rows of the table of sets to compare that may be broadcast (24 bytes each); a shuffled join serves beyond.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, and parts into which rows of one key are dealt beyond.
+BROADCAST_BYTES, SALTS = 24 << 20, 32
 #: Words are stretches of bytes that are no ASCII white space.
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -396,11 +398,25 @@ def _ties(df: DataFrame, text: str, n: int, classes: object, buckets: int) -> Da
     return written(met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b"), "ties")
 
 
+def _joined(rows: DataFrame, small: DataFrame, on: list[str], bytes_: int, salt: str) -> DataFrame:
+    """Rows with the columns of a smaller table, which has a row for a key: broadcast if it has few bytes, else every key is dealt to SALTS tasks by a column of the rows."""
+    if bytes_ <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), on)
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def _set_rows(df: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """Written rows (group, set, size, members in bytes) of the sets in wanted(key, set, group), each set once."""
-    source = df.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    if wanted.count() <= BROADCAST_ROWS:
+    """Written rows (group, set, size, members in bytes) of the sets in wanted(key, set, group), each set once or some times.
+
+    Where wanted is too large to be broadcast, a text is taken once from each task
+    before it is dealt by its hash, so copies of one text are no hot key.
+    """
+    source = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    if wanted.count() * 24 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
+    else:
+        source = source.groupBy("key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -468,52 +484,46 @@ def _small_groups(rows: DataFrame) -> DataFrame:
 
 def _large_groups(rows: DataFrame, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Links of groups of any size: with a first set, then between blocks of similar distance from it."""
-    spark = rows.sparkSession
     rows = written(rows.dropDuplicates(["set"]), "large-groups", codec="snappy")
     heads = rows.groupBy("group").agg(F.min("set").alias("set"))
-    pivots = rows.join(F.broadcast(heads), ["group", "set"], "left_semi").collect()  # a set for each large group
-    shared = spark.sparkContext.broadcast({r["group"]: (r["set"], np.sort(np.frombuffer(r["members"], dtype=np.uint64))) for r in pivots})
+    pivots = written(rows.join(heads, ["group", "set"]).select("group", F.col("set").alias("head"), F.col("members").alias("theirs")), "pivots", codec="snappy")
+    size = pivots.agg(F.sum(F.octet_length("theirs") + 32)).first()[0] or 0
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            head, zone, linked = [], [], []
-            for group, raw in zip(batch.column("group").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                first, theirs = shared.value[group]
-                own = np.frombuffer(raw, dtype=np.uint64)
-                common = len(np.intersect1d(own, theirs, assume_unique=True))
-                union = len(own) + len(theirs) - common
-                head.append(first)
+            zone, linked = [], []
+            for own, theirs in zip(batch.column("members").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                common = len(np.intersect1d(np.frombuffer(own, dtype=np.uint64), np.frombuffer(theirs, dtype=np.uint64), assume_unique=True))
+                union = (len(own) + len(theirs)) // 8 - common
                 linked.append(OF * common >= NEED * union)
                 zone.append(int(20 * (union - common) // union))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.int64()), pa.array(zone, pa.int32()), pa.array(linked, pa.bool_())], names=[*batch.schema.names, "head", "zone", "linked"])
+            kept = [c for c in batch.schema.names if c != "theirs"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(zone, pa.int32()), pa.array(linked, pa.bool_())], names=[*kept, "zone", "linked"])
 
-    measured = written(rows.mapInArrow(measure, "group long, set long, size long, members binary, head long, zone int, linked boolean"), "measured", codec="snappy")
+    ready = _joined(rows, pivots, ["group"], size, "set").select("group", "set", "members", "head", "theirs")
+    measured = written(ready.mapInArrow(measure, "group long, set long, members binary, head long, zone int, linked boolean"), "measured", codec="snappy")
     star = measured.where("linked and set <> head").select(F.col("set").alias("a"), F.col("head").alias("b"))
-    sizes = measured.groupBy("group", "zone", "linked").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 42 rows a large group
-    blocks, pairs = {}, []
-    for r in sizes:
-        blocks[r["group"], r["zone"], r["linked"]] = -(-r["n"] // block_sets)
-    for (g, z, l), n in blocks.items():
-        for (h, y, m), o in blocks.items():
-            # twentieths of distance: linked sets differ by a quarter at most; sets linked with the first one are together already
-            if g != h or l and m or abs(z - y) > 6 or (z, l) > (y, m):
-                continue
-            for i in range(n):
-                for j in range(i if (z, l) == (y, m) else 0, o):
-                    pairs.append((g, len(pairs), z, l, i, y, m, j))
-    if not pairs:
-        return star
-    ends = [(g, k, z, l, i, 0) for g, k, z, l, i, _, _, _ in pairs] + [(g, k, y, m, j, 1) for g, k, z, l, i, y, m, j in pairs if (z, l, i) != (y, m, j)]
-    table = spark.createDataFrame(ends, "group long, pair long, zone int, linked boolean, block int, side int")
-    number = spark.createDataFrame([(g, z, l, n) for (g, z, l), n in blocks.items()], "group long, zone int, linked boolean, blocks int")
-    placed = measured.join(F.broadcast(number), ["group", "zone", "linked"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    both = placed.join(F.broadcast(table), ["group", "zone", "linked", "block"]).select("pair", "side", "set", "head", "linked", "members")
+    # at most 42 rows a group
+    zones = written(measured.groupBy("group", "zone", "linked").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("blocks")), "zones")
+    one, two = (zones.select("group", *(F.col(c).alias(f"{c}{k}") for c in ("zone", "linked", "blocks"))) for k in (1, 2))
+    # twentieths of distance: linked sets differ by a quarter at most; sets linked with the first one are together already
+    near = one.join(two, "group").where("not (linked1 and linked2) and abs(zone1 - zone2) <= 6 and (zone1 < zone2 or zone1 = zone2 and linked1 <= linked2)")
+    near = near.withColumn("block1", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)))
+    same = (F.col("zone1") == F.col("zone2")) & (F.col("linked1") == F.col("linked2"))
+    near = near.withColumn("block2", F.explode(F.sequence(F.when(same, F.col("block1")).otherwise(0), F.col("blocks2") - 1)))
+    pairs = written(near.withColumn("alone", same & (F.col("block1") == F.col("block2"))).withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
+    side = lambda k: pairs.select("group", F.col(f"zone{k}").alias("zone"), F.col(f"linked{k}").alias("linked"), F.col(f"block{k}").alias("block"), "pair", F.lit(k).alias("side"), "alone")
+    ends = side(1).unionByName(side(2).where("not alone")).select("group", "zone", "linked", "block", "pair", "side")
+    placed = _joined(measured, zones, ["group", "zone", "linked"], 24 * zones.count(), "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    # a block has some hundred sets, so its key is none that many rows share
+    ends = F.broadcast(ends) if 64 * pairs.count() <= BROADCAST_BYTES else ends
+    both = placed.join(ends, ["group", "zone", "linked", "block"]).select("pair", "side", "set", "head", "linked", "members")
 
     def run(own: list[dict]) -> Iterator[pa.RecordBatch]:
         side = np.array([r["side"] for r in own])
         label = np.arange(len(own))
         label[[r["linked"] for r in own]] = len(own)
-        found = join_group(_members(own), label, side if side.any() else None)
+        found = join_group(_members(own), label, side if (side != side[0]).any() else None)
         if found:
             yield _pairs([own[i]["set"] for i, _ in found], [own[j]["set"] for _, j in found])
 
@@ -541,8 +551,9 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     sizes = wanted.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     large = written(sizes.where(F.col("n") > group_sets).select("group"), "large")
     links = _small_groups(rows.join(large, "group", "left_anti"))
-    if large.count():
-        links = links.unionByName(_large_groups(rows.join(F.broadcast(large), "group", "left_semi"), block_sets))
+    number = large.count()
+    if number:
+        links = links.unionByName(_large_groups(_joined(rows, large, ["group"], 16 * number, "set"), block_sets))
     final = components(written(links, "links"))
     least = docs.where("size > 0").groupBy("set").agg(F.min("key").alias("least"))
     named = least.join(final.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
