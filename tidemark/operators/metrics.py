@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 def retrieval(ranked: DataFrame, query: str, rank: str, truth: str, k: int, support: str | None = None) -> DataFrame:
     """Per query, of results with a rank from 1 and a truth of 0 or 1: precision and yield at k, reciprocal rank, average precision, nDCG.
@@ -32,8 +34,14 @@ def retrieval(ranked: DataFrame, query: str, rank: str, truth: str, k: int, supp
 def auc(df: DataFrame, score: str, truth: str, by: list[str] = ()) -> DataFrame:
     """The share of (true, false) pairs that the score puts in order, ties half, from counts per distinct score."""
     per = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(truth).cast("double")).alias("__t"), F.sum(1 - F.col(truth).cast("double")).alias("__f"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("__f").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.lit(0.0)
+    if not by:  # scores are sorted by range, and a running sum of partitions goes ahead of that within each
+        per = written(per.repartitionByRange(score).sortWithinPartitions(score).withColumn("__part", F.spark_partition_id()), "scores")
+        parts = per.groupBy("__part").agg(F.sum("__f").alias("__p"))  # a row a partition
+        ahead = F.coalesce(F.sum("__p").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        per, before = per.join(F.broadcast(parts.select("__part", ahead.alias("__ahead"))), "__part"), F.col("__ahead")
+    w = Window.partitionBy(*(by or ["__part"]))
+    below = before + F.coalesce(F.sum("__f").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     own = per.withColumn("__u", F.col("__t") * (below + F.col("__f") / 2))
     total = own.groupBy(*by).agg(F.sum("__u").alias("__u"), F.sum("__t").alias("__t"), F.sum("__f").alias("__f"))
     return total.select(*by, F.when(F.col("__t") * F.col("__f") > 0, F.col("__u") / (F.col("__t") * F.col("__f"))).alias("auc"))

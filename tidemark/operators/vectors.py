@@ -249,6 +249,14 @@ def adc_search(coded: DataFrame, books: np.ndarray, vector: str, query: list[flo
     return knn(near, vector, query, k, key)
 
 
+def sign_code_join(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, shortlist: int, vector: str = "embedding") -> DataFrame:
+    """The k nearest rows to every query among the `shortlist` whose signs differ least, as sign_code_search() finds them for one."""
+    signs = lambda df, name: df.select(name, F.transform(F.col(vector), lambda x: F.when(x >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))).alias(vector))
+    near = knn_join(signs(queries, query_key), signs(corpus, key), shortlist, query_key, key, vector).select(query_key, key)
+    pairs = near.join(queries.select(query_key, F.col(vector).alias("__q")), query_key).join(corpus.select(key, vector), key)
+    return top_k(pairs.select(query_key, key, dot(F.col(vector), F.col("__q")).alias("score")), "score", k, key, [query_key])
+
+
 def diffuse(df: DataFrame, key: str, vector: str, seeds: list, neighbours: int = 10, alpha: float = 0.9, rounds: int = 20) -> DataFrame:
     """Scores spread from seeds over the graph of mutual nearest neighbours: alpha S y + (1 - alpha) y0, so many times."""
     edges = knn_join(df.select(F.col(key).alias("a"), vector), df.select(F.col(key).alias("b"), vector), neighbours + 1, "a", "b", vector).where("a <> b").select("a", "b", F.greatest("score", F.lit(0.0)).alias("w"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.vectors import top_k
 from tidemark.operators.windows import tumbling
-from tidemark.plans import evidence, ranks, relational, storage, times, vectors
+from tidemark.plans import composed, evidence, ranks, relational, storage, times, vectors
 from tidemark.plans.common import NS, T0, T1, event_store
 
-_MODULES = (storage, times, vectors, ranks, evidence, relational)
+_MODULES = (storage, times, vectors, ranks, composed, evidence, relational)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

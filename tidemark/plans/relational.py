@@ -78,6 +78,13 @@ WORDS = "regexp_extract_all(lower(text), '[\\p{L}]+')"
 TFIDF = f"WITH f AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), t AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM f GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), i AS (SELECT term, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM t, n GROUP BY term, n), w AS (SELECT doc_id, term, tf * idf AS w FROM t JOIN i USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT doc_id, round(sum(w / l * CASE term WHEN 'the' THEN 0.5 WHEN 'of' THEN 0.25 ELSE 1.0 END), 6) AS score FROM w JOIN l USING (doc_id) WHERE term IN ('the', 'of', 'with') GROUP BY 1"
 GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\\p{L}]+'), lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)))))"
 
+MEDIA = r"""
+    WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages),
+    s AS (SELECT *, regexp_extract(path, '([^/]+?)(?:\.[^./]*)?$', 1) AS s, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS f FROM p), q AS (SELECT *, f || '_' || s AS p FROM s),
+    a AS (SELECT s, count(DISTINCT path) AS n FROM q GROUP BY 1), b AS (SELECT p, count(DISTINCT path) AS n FROM q GROUP BY 1)
+    SELECT page_id, CASE WHEN a.n = 1 THEN q.s WHEN b.n = 1 THEN q.p ELSE q.p || '_' || sha1(path)[1:8] END AS media_id FROM q JOIN a ON q.s = a.s JOIN b ON q.p = b.p
+"""
+
 QUERIES = {
     "attested_vocab": (attested_vocab, f"WITH d AS (SELECT doc_id, unnest(list_distinct({WORDS})) AS word FROM documents WHERE lang = 'en') SELECT word, count(*) AS df FROM d GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM documents WHERE lang = 'en')"),
     "idf_names": (idf_names, "SELECT source, count(*) AS rows, round(ln((SELECT count(*) FROM documents) / count(*)::DOUBLE) / ln((SELECT count(*) FROM documents)), 6) AS weight FROM documents GROUP BY 1"),
@@ -86,7 +93,7 @@ QUERIES = {
     "char_tfidf_norm": (char_tfidf_norm, "SELECT doc_id, 1.0::DOUBLE AS norm FROM documents"),
     "latent_semantics": (latent_semantics, "SELECT doc_id, 8 AS dimensions FROM documents"),
     "query_hash": (query_hash, HASH),
-    "media_ids": (media_ids, None),
+    "media_ids": (media_ids, MEDIA),
     "document_lines": (document_lines, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(DISTINCT doc_id) AS docs FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) > 3"),
     "norm_argmax": (sql("SELECT source, max_by(lang, struct(n, lang)) AS norm, max(n) AS evidence FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1"), "SELECT source, lang AS norm, n AS evidence FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang DESC) AS k FROM documents GROUP BY 1, 2) WHERE k = 1"),
     "skill_rates": both("SELECT l_returnflag AS skill, l_linestatus AS strategy, count(*) AS n_try, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS n_ok, round(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) / (count(*) * 1.0e0), 6) AS rate FROM lineitem GROUP BY l_returnflag, l_linestatus"),

@@ -111,13 +111,11 @@ def opposite_pairs(spark, d):
 def recall_self_test(spark, d):
     """Recall of the sign-code tier against exact search, for every row whose id is divisible by 50."""
     e = embeddings(spark, d)
-    ids = [r[0] for r in e.where("vec_id % 50 = 0").select("vec_id").orderBy("vec_id").collect()]
-    hits = 0
-    for i in ids:
-        q = vector_of(spark, d, i)
-        exact = {r[0] for r in V.knn(e, "embedding", q, 10, "vec_id").select("vec_id").collect()}
-        hits += len(exact & {r[0] for r in V.sign_code_search(e, "embedding", q, 10, "vec_id", 200).select("vec_id").collect()})
-    return spark.createDataFrame([(len(ids), hits >= 0.9 * 10 * len(ids))], "queries long, enough boolean")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    exact = V.knn_join(queries, e, 10, "query", "vec_id").select("query", "vec_id")
+    found = V.sign_code_join(queries, e, 10, "query", "vec_id", 200).select("query", "vec_id")
+    hits, n = exact.join(found, ["query", "vec_id"]).count(), queries.count()
+    return spark.createDataFrame([(n, hits >= 0.9 * 10 * n)], "queries long, enough boolean")
 
 
 def product_quantization(spark, d):
@@ -177,16 +175,25 @@ def normalised_lengths(spark, d):
     return u.select("vec_id", F.round(F.sqrt(dot(F.col("u"), F.col("u"))), 4).alias("length"))
 
 
-def near_copies_of_benchmark(spark, d):
-    """Documents that hold a whole line of a benchmark item."""
-    lines = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 60)
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return docs.join(lines, "line").select("doc_id", "item_id").distinct()
-
-
 LAB = "l AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster FROM embeddings)"
 QV = f"q AS (SELECT {_query(Q)} AS q)"
 
+
+def _diffusion(rounds: int) -> str:
+    """graph_diffusion in SQL: mutual neighbours by a join of all pairs, and a query for each round."""
+    steps = ["y0 AS (SELECT vec_id AS a, CASE WHEN vec_id = %d THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM embeddings)" % Q]
+    steps += [f"y{k} AS (SELECT s.a, 0.9 * coalesce(sum(n.w * p.y), 0) + 0.1 * any_value(s.y) AS y FROM y0 s LEFT JOIN nw n ON n.a = s.a LEFT JOIN y{k - 1} p ON p.a = n.b GROUP BY s.a)" for k in range(1, rounds + 1)]
+    return f"""
+        WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, {_dot('x.embedding::DOUBLE[]', 'y.embedding::DOUBLE[]')} AS w FROM embeddings x, embeddings y),
+        k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 9), e AS (SELECT a, b, greatest(w, 0) AS w FROM k WHERE a <> b),
+        u AS (SELECT a, b, max(w) AS w FROM (SELECT * FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY 1, 2), g AS (SELECT a, sum(w) AS d FROM u GROUP BY 1),
+        nw AS (SELECT u.a, u.b, u.w / sqrt(g.d * h.d + 1e-12) AS w FROM u JOIN g ON u.a = g.a JOIN g h ON u.b = h.a), {", ".join(steps)}
+        SELECT a AS vec_id, row_number() OVER (ORDER BY y DESC, a)::INTEGER AS rank FROM y{rounds} QUALIFY rank <= 15
+    """
+
+
+DIFFUSION = _diffusion(4)
+
 QUERIES = {
     "pool_mean_vector": (pool_mean_vector, f"WITH {CENT} SELECT label, pos::INTEGER - 1 AS pos, round(x, 6) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM u)"),
     "knn_exact": (knn_exact, f"WITH t AS (SELECT vec_id, {_dot('embedding::DOUBLE[]', _query(Q))} AS s FROM embeddings) {_top(20)}"),
@@ -206,11 +213,10 @@ QUERIES = {
     "product_quantization": (product_quantization, None),
     "whitened_spread": (whitened_spread, "SELECT i::INTEGER AS pos, 1.0::DOUBLE AS std FROM range(16) r(i)"),
     "effective_rank": (effective_rank, None),
-    "graph_diffusion": (graph_diffusion, None),
+    "graph_diffusion": (graph_diffusion, DIFFUSION),
     "rank_pooling": (rank_pooling, "WITH o AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, count(*) OVER (PARTITION BY label) AS n FROM embeddings), f AS (SELECT label, 2 * t - n - 1 AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM o) SELECT label, pos, round(sum(w * x), 4) AS x FROM f GROUP BY 1, 2"),
     "late_interaction": (late_interaction, f"WITH e AS (SELECT vec_id, vec_id // 10 AS g, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT b.g, a.vec_id, max({_dot('a.v', 'b.v')}) AS s FROM e a, e b WHERE a.g = 0 AND b.g > 0 GROUP BY 1, 2) SELECT g::INTEGER AS g, round(max(s), 6) AS best, round(avg(s), 6) AS chamfer FROM p GROUP BY 1"),
     "max_views_min_atoms": (max_views_min_atoms, f"SELECT (vec_id // 5)::INTEGER AS episode, round(least(max({_dot('embedding::DOUBLE[]', _query(Q))}), max({_dot('embedding::DOUBLE[]', _query(R))})), 6) AS score FROM embeddings GROUP BY 1"),
     "local_context_residual": (local_context_residual, "WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos FROM embeddings) SELECT vec_id, pos, round(x - (sum(x) OVER w - x) / (count(x) OVER w - 1), 6) AS x FROM f WINDOW w AS (PARTITION BY label, pos ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"),
     "normalised_lengths": (normalised_lengths, "SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings"),
-    "near_copies_of_benchmark": (near_copies_of_benchmark, "WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark), d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT DISTINCT doc_id, item_id FROM d JOIN l USING (line) WHERE length(line) > 60"),
 }
