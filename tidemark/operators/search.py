@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import constant, dot, log_likelihood, unit
 from tidemark.operators import ranking
 from tidemark.operators.vectors import mean_vector, top_k
+from tidemark.session import written
 
 #: Depths, as shares of the corpus, at which a held-out seed may come back.
 LADDER = (1 / 80, 1 / 40, 1 / 20, 1 / 10, 1 / 5, 2 / 5)
@@ -62,25 +63,33 @@ def coherence(df: DataFrame, key: str, vector: str, seeds: list, op: str = "cosi
     return max(p - 0.5, 0.0) * 2
 
 
-def _fused(channels: dict[str, tuple[DataFrame, str]], key: str, vector: str, seeds: list, weights: dict[str, float], out: str) -> DataFrame | None:
-    """The weighted sum over channels of z-scored similarity to the seeds' mean vector, for rows that every voting channel scores."""
+def _fused(channels: dict[str, tuple[DataFrame, str]], key: str, vector: str, groups: list[list], weights: dict[str, float]) -> DataFrame | None:
+    """For each group of seeds the weighted sum over channels of z-scored similarity to their mean vector (s0, s1, ...), for rows that every voting channel scores.
+
+    A channel is scored for all groups in one pass, and their means and deviations are one aggregate.
+    """
     total = None
     for c, (df, op) in channels.items():
-        if weights.get(c, 0) <= 0:
-            continue
-        own = seed_vectors(df, key, vector, seeds)
+        own = seed_vectors(df, key, vector, groups[0]) if weights.get(c, 0) > 0 else {}
         if not own:
             continue
-        mean = [sum(x) / len(own) for x in zip(*own.values(), strict=True)]
-        if op != "crossent":
-            length = sum(x * x for x in mean) ** 0.5 + 1e-8
-            mean = [x / length for x in mean]
-        scored = ranking.z_score(df.select(key, _score(op, vector, mean).alias("__s")), "__s", f"__z_{c}", 0.0).select(key, (F.lit(weights[c]) * F.col(f"__z_{c}")).alias(f"__z_{c}"))
-        total = scored if total is None else total.join(scored, key)
+        means = []
+        for group in groups:
+            mine = [own[s] for s in group if s in own]
+            mean = [sum(x) / max(len(mine), 1) for x in zip(*(mine or [[0.0] * len(next(iter(own.values())))]), strict=True)]
+            if op != "crossent":
+                length = sum(x * x for x in mean) ** 0.5 + 1e-8
+                mean = [x / length for x in mean]
+            means.append(mean)
+        scored = df.select(key, *(_score(op, vector, m).alias(f"s{g}") for g, m in enumerate(means)))
+        stats = scored.agg(*(f(F.col(f"s{g}")).alias(f"{n}{g}") for g in range(len(groups)) for n, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
+        z = lambda g: weights[c] * (F.col(f"s{g}") - F.lit(stats[f"m{g}"])) / F.nullif(F.lit(stats[f"d{g}"]), F.lit(0.0))  # noqa: B023, E731
+        part = scored.select(key, *(z(g).alias(f"__{c}_{g}") for g in range(len(groups))))
+        total = part if total is None else total.join(part, key)
     if total is None:
         return None
-    parts = [F.col(c) for c in total.columns if c.startswith("__z_")]
-    return total.select(key, reduce(lambda a, b: a + b, parts).alias(out))
+    sums = (reduce(lambda a, b: a + b, (F.col(n) for n in total.columns if n.endswith(f"_{g}"))).alias(f"s{g}") for g in range(len(groups)))
+    return written(total.select(key, *sums), "fused")
 
 
 def search_like(channels: dict[str, tuple[DataFrame, str]], key: str, vector: str, seeds: list, most: int, power: float = 8.0) -> tuple[DataFrame, dict[str, float]]:
@@ -88,7 +97,8 @@ def search_like(channels: dict[str, tuple[DataFrame, str]], key: str, vector: st
 
     channels: name -> (table of key and vector, "cosine" or "crossent").  Three
     seeds or more weigh channels by loo_quality, two by coherence, one equally;
-    weights are (quality / best) ** power.  The cut holds each seed out in turn.
+    weights are (quality / best) ** power.  The cut holds each seed out in turn;
+    all of these are scored together and ranked in one aggregate.
     """
     if len(seeds) >= 3:
         quality = {c: loo_quality(df, key, vector, seeds, op) for c, (df, op) in channels.items()}
@@ -100,17 +110,14 @@ def search_like(channels: dict[str, tuple[DataFrame, str]], key: str, vector: st
     if best <= 0:
         quality, best = dict.fromkeys(channels, 1.0), 1.0
     weights = {c: (q / best) ** power for c, q in quality.items()}
-    fused = _fused(channels, key, vector, seeds, weights, "score")
+    held = list(seeds) if len(seeds) >= 3 else []
+    fused = _fused(channels, key, vector, [list(seeds), *([x for x in seeds if x != s] for s in held)], weights)
     if fused is None:
         raise ValueError("no channel has the seeds")
-    ranks = []
-    for s in seeds if len(seeds) >= 3 else []:
-        rest = [x for x in seeds if x != s]
-        held = _fused(channels, key, vector, rest, weights, "score").where(~F.col(key).isin(rest))
-        own = held.where(F.col(key) == s).select("score").first()
-        if own is not None:
-            ranks.append(held.where(F.col("score") > own["score"]).count())
-    found = fused.where(~F.col(key).isin(seeds))
+    own = {r[key]: r for r in fused.where(F.col(key).isin(held)).collect()} if held else {}
+    above = [F.count(F.when(~F.col(key).isin([x for x in seeds if x != s]) & (F.col(f"s{g + 1}") > own[s][f"s{g + 1}"]), 1)).alias(f"r{g}") for g, s in enumerate(held) if s in own]
+    ranks = list(fused.agg(*above).first()) if above else []
+    found = fused.where(~F.col(key).isin(list(seeds))).select(key, F.col("s0").alias("score"))
     keep = ranking.loo_cut(ranks, most) if ranks else ranking.otsu_cut(found, "score", most)
     return top_k(found, "score", keep, key), quality
 

@@ -278,6 +278,58 @@ SEEDLIST = ", ".join(map(str, SEEDS))
 PAIR = f"p AS (SELECT a.vec_id, b.vec_id AS seed, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE b.vec_id IN ({SEEDLIST}))"
 MAD = f"WITH {SC}, s AS (SELECT a AS s FROM sc), m AS (SELECT median(s) AS m FROM s), dv AS (SELECT m, median(abs(s - m)) AS d FROM s, m GROUP BY m), k AS (SELECT count(*) AS k FROM s, dv WHERE s >= m + 3 * 1.4826 * d)"
 
+OTSU = """
+    WITH r AS (SELECT min(s) AS low, max(s) AS high, least(256, greatest(16, count(*) // 8)) AS bins FROM s),
+    b AS (SELECT least(floor((s - low) / (high - low) * bins), bins - 1)::BIGINT AS b, count(*) AS n FROM s, r GROUP BY 1),
+    h AS (SELECT i, coalesce(n, 0) / (SELECT count(*) FROM s)::DOUBLE AS p FROM (SELECT unnest(range((SELECT bins FROM r))) AS i) LEFT JOIN b ON b = i),
+    c AS (SELECT i, sum(p) OVER (ORDER BY i) AS w, sum(p * i) OVER (ORDER BY i) AS m, sum(p * i) OVER () AS t FROM h)
+    SELECT low + (high - low) * ((SELECT i FROM c WHERE w * (1 - w) > 1e-12 ORDER BY round((t * w - m) ** 2 / (w * (1 - w)), 9) DESC, i LIMIT 1) + 1) / bins AS cut FROM r
+"""
+#: Places at equal amounts of change: between the last knot at or before each target and the next one.
+ARC = f"""
+    WITH {EV}, x AS (SELECT user_id, row_number() OVER w - 1 AS i, abs(value - coalesce(lag(value) OVER w, value)) AS c FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    k AS (SELECT user_id, i, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS knot FROM x),
+    t AS (SELECT user_id, max(knot) AS total, least(512, greatest(4, round_even(max(knot) / 200, 0)))::BIGINT AS n FROM k GROUP BY 1),
+    g AS (SELECT user_id, unnest(range(n)) AS step, total, n FROM t WHERE total > 0), p AS (SELECT user_id, step, (step + 0.5) * total / n AS target FROM g),
+    d AS (SELECT user_id, knot, max(i) AS i FROM k GROUP BY 1, 2),
+    f AS (SELECT d.user_id, d.knot, d.i, lead(d.knot) OVER w AS after FROM d WINDOW w AS (PARTITION BY d.user_id ORDER BY d.knot))
+    SELECT p.user_id, step, round(f.i + coalesce((target - f.knot) / (f.after - f.knot), 0), 6) AS place FROM p ASOF JOIN f ON p.user_id = f.user_id AND p.target >= f.knot
+    UNION ALL SELECT k.user_id, k.i, k.i FROM k JOIN t USING (user_id) WHERE total <= 0
+"""
+
+
+def suppressed(radius: int, rounds: int = 20) -> str:
+    """Greedy suppression in SQL, a round at a time: rows best within the radius stay, and what lies near them goes."""
+    near = f"OVER (PARTITION BY stream ORDER BY position RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
+    parts = [f"WITH {EV}, u0 AS (SELECT event_id, stream, position, row_number() OVER (ORDER BY value DESC, position) AS r FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts) AS position FROM ev))"]
+    for k in range(rounds):
+        parts.append(f"k{k} AS (SELECT * FROM u{k} QUALIFY r = min(r) {near}), u{k + 1} AS (SELECT event_id, stream, position, r FROM (SELECT u{k}.*, max(CASE WHEN k{k}.event_id IS NOT NULL THEN 1 ELSE 0 END) {near.replace('stream', f'u{k}.stream').replace('position', f'u{k}.position')} AS gone FROM u{k} LEFT JOIN k{k} USING (event_id)) WHERE gone = 0)")
+    # a round too few would leave rows, which would be too many
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT event_id FROM k{k}" for k in range(rounds)) + f" UNION ALL SELECT event_id FROM u{rounds}"
+
+
+def like() -> str:
+    """search_like_qbe in SQL: two channels, their qualities, and every seed held out in turn."""
+    listed = ", ".join(map(str, SEEDS))
+    groups = [SEEDS, *([x for x in SEEDS if x != s] for s in SEEDS)]
+    parts = ["v AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v0, embedding[33:64]::DOUBLE[] AS v1 FROM embeddings), n AS (SELECT count(*) AS n FROM v), l AS (SELECT greatest(2, round_even(n * f, 0)) AS d FROM n, (SELECT unnest([1/80, 1/40, 1/20, 1/10, 1/5, 2/5]) AS f))"]
+    for c in (0, 1):
+        parts.append(f"p{c} AS (SELECT a.vec_id, b.vec_id AS seed, list_inner_product(a.v{c}, b.v{c}) AS s FROM v a, v b WHERE b.vec_id IN ({listed}))")
+        parts.append(f"h{c} AS (SELECT vec_id AS held, seed, s FROM p{c} WHERE vec_id IN ({listed}) AND vec_id <> seed)")
+        parts.append(f"r{c} AS (SELECT held, h.seed, count(*) FILTER (p.s > h.s AND NOT (p.vec_id IN ({listed}) AND p.vec_id <> h.held)) AS r FROM h{c} h JOIN p{c} p ON p.seed = h.seed GROUP BY 1, 2)")
+        parts.append(f"q{c} AS (SELECT avg((r < d)::INTEGER) AS q FROM r{c}, l)")
+        for g, group in enumerate(groups):
+            own = ", ".join(map(str, group))
+            parts.append(f"m{c}{g} AS (SELECT list(x ORDER BY p) AS m FROM (SELECT p, avg(x) AS x FROM (SELECT unnest(v{c}) AS x, generate_subscripts(v{c}, 1) AS p FROM v WHERE vec_id IN ({own})) GROUP BY p))")
+            parts.append(f"s{c}{g} AS (SELECT vec_id, list_inner_product(v{c}, m) / (sqrt(list_inner_product(m, m)) + 1e-8) AS s FROM v, m{c}{g}), z{c}{g} AS (SELECT vec_id, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS z FROM s{c}{g})")
+    parts.append("w AS (SELECT (q0.q / greatest(q0.q, q1.q)) ** 8 AS w0, (q1.q / greatest(q0.q, q1.q)) ** 8 AS w1 FROM q0, q1)")
+    for g in range(len(groups)):
+        parts.append(f"f{g} AS (SELECT vec_id, w0 * a.z + w1 * b.z AS s FROM z0{g} a JOIN z1{g} b USING (vec_id), w)")
+    ranks = " UNION ALL ".join(f"SELECT count(*) AS r FROM f{g + 1} WHERE vec_id NOT IN ({', '.join(str(x) for x in SEEDS if x != s)}) AND s > (SELECT s FROM f{g + 1} WHERE vec_id = {s})" for g, s in enumerate(SEEDS))
+    parts.append(f"k AS (SELECT least(25, greatest(1, round_even(max(r) * {len(SEEDS) + 1} / {len(SEEDS)}, 0))) AS keep FROM ({ranks}))")
+    return "WITH " + ", ".join(parts) + f" SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INTEGER AS rank, round(s, 5) AS score FROM f0, k WHERE vec_id NOT IN ({listed}) QUALIFY rank <= any_value(keep) OVER ()"
+
+
 QUERIES = {
     "rrf_fusion": (rrf_fusion, f"WITH {RK} SELECT vec_id, round(fused, 9) AS fused FROM fu"),
     "explain_fusion": (explain_fusion, f"WITH {RK} SELECT vec_id, round(fused, 9) AS fused, xa + 1.0::DOUBLE AS place_a, xb + 1.0::DOUBLE AS place_b FROM fu ORDER BY fu.fused DESC, vec_id LIMIT 20"),
@@ -292,7 +344,7 @@ QUERIES = {
     "otsu_cut": (otsu_cut, f"WITH {SC}, h AS (SELECT a AS s FROM sc ORDER BY a DESC LIMIT 400), e AS (SELECT min(s) AS lo, max(s) AS hi FROM h), b AS (SELECT i, lo + (hi - lo) * (i + 0.5) / 64 AS mid, (SELECT count(*) FROM h WHERE least(63, floor((s - lo) * 64 / (hi - lo))) = i) AS n FROM range(64) r(i), e), c AS (SELECT i, mid, sum(n) OVER (ORDER BY i) / 400.0::DOUBLE AS w, sum(n * mid) OVER (ORDER BY i) / 400.0::DOUBLE AS m, sum(n * mid) OVER () / 400.0::DOUBLE AS t FROM b), v AS (SELECT mid FROM c WHERE w < 1 ORDER BY power(t * w - m, 2) / (w * (1 - w)) DESC, i LIMIT 1) SELECT least(100, greatest(1, count(*)))::BIGINT AS keep FROM (SELECT a AS s FROM sc ORDER BY a DESC LIMIT 100), v WHERE s >= mid"),
     "fit_cut_quantile": (_fit("quantile"), fit_sql("SELECT quantile_cont(s, 0.9) AS cut FROM s")),
     "knee_cut": (_fit("knee"), fit_sql("SELECT (s + t) / 2 AS cut FROM (SELECT s, lead(s) OVER (ORDER BY s) AS t, row_number() OVER (ORDER BY s) - 1 AS p, count(*) OVER () AS n FROM s) WHERE p >= floor(0.05 * n) AND p < floor(0.95 * n) - 1 ORDER BY t - s DESC, p LIMIT 1")),
-    "fit_cut_otsu": (_fit("otsu"), None),
+    "fit_cut_otsu": (_fit("otsu"), fit_sql(OTSU)),
     "corroboration_veto": (corroboration_veto, f"WITH {SC}, s AS (SELECT a, coalesce(b, 0) AS b, -a AS c FROM sc), z AS (SELECT (a - avg(a) OVER ()) / (stddev_pop(a) OVER () + 1e-8) AS a, (b - avg(b) OVER ()) / (stddev_pop(b) OVER () + 1e-8) AS b, (c - avg(c) OVER ()) / (stddev_pop(c) OVER () + 1e-8) AS c FROM s) SELECT 'a' AS channel, CASE WHEN corr(a, b + c) < 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight FROM z UNION ALL SELECT 'b', CASE WHEN corr(b, a + c) < 0 THEN 0.0 ELSE 1.0 END FROM z UNION ALL SELECT 'c', CASE WHEN corr(c, a + b) < 0 THEN 0.0 ELSE 1.0 END FROM z"),
     "informativeness": (informativeness, f"WITH {SC} SELECT round(1 - abs(corr(a, b)), 6) AS informativeness FROM sc"),
     "rank_correlation": (rank_correlation, f"WITH {SC}, r AS (SELECT row_number() OVER (ORDER BY a, vec_id) AS x, row_number() OVER (ORDER BY b, vec_id) AS y FROM sc WHERE b IS NOT NULL) SELECT round(corr(x, y), 6) AS spearman FROM r"),
@@ -301,8 +353,8 @@ QUERIES = {
     "tail_concentration": (tail_concentration, f"WITH {SC} SELECT round((quantile_cont(a, 0.99) - quantile_cont(a, 0.5)) / (quantile_cont(a, 0.99) - quantile_cont(a, 0.01)), 6) AS tail FROM sc"),
     "auc_rank_sum": (auc_rank_sum, f"WITH {SC}, r AS (SELECT label = 3 AS t, row_number() OVER (ORDER BY a) AS k FROM sc), c AS (SELECT count(*) FILTER (t) AS n, count(*) FILTER (NOT t) AS m, sum(k) FILTER (t) AS s FROM r) SELECT round((s - n * (n + 1) / 2.0::DOUBLE) / (n * m), 6) AS auc FROM c"),
     "retrieval_metrics": (retrieval_metrics, "WITH s AS (SELECT a.vec_id AS query, a.label AS want, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), t AS (SELECT query, rank, (want = label)::INTEGER AS truth, sum((want = label)::INTEGER) OVER (PARTITION BY query ORDER BY rank) AS hits FROM s WHERE rank <= 20), g AS (SELECT query, sum(truth) FILTER (rank <= 10) AS k, sum(truth) AS n, max(CASE WHEN truth = 1 THEN 1.0::DOUBLE / rank END) AS rr, sum(truth * hits / rank::DOUBLE) AS ap, sum(truth / log2(rank + 1)) AS dcg FROM t GROUP BY 1) SELECT query, round(k / 10.0::DOUBLE, 6) AS precision, round(k / n::DOUBLE, 6) AS yield, round(rr, 6) AS reciprocal_rank, round(ap / n, 6) AS average_precision, round(dcg / list_sum(list_transform(range(1, n::BIGINT + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g"),
-    "nms_temporal": (nms_temporal, None),
-    "search_like_qbe": (search_like_qbe, None),
+    "nms_temporal": (nms_temporal, suppressed(2)),
+    "search_like_qbe": (search_like_qbe, like()),
     "loo_quality": (loo_quality, f"WITH {PAIR}, h AS (SELECT vec_id AS held, seed, s FROM p WHERE vec_id IN ({SEEDLIST}) AND vec_id <> seed), r AS (SELECT held, h.seed, count(*) FILTER (p.s > h.s AND NOT (p.vec_id IN ({SEEDLIST}) AND p.vec_id <> h.held)) AS r FROM h JOIN p ON p.seed = h.seed GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT greatest(2, round_even(n * f, 0)) AS d FROM n, (SELECT unnest([1/80, 1/40, 1/20, 1/10, 1/5, 2/5]) AS f)) SELECT round(avg((r < d)::INTEGER), 6) AS quality FROM r, l"),
     "coherence_weight": (coherence_weight, f"WITH {PAIR}, w AS (SELECT s FROM p WHERE vec_id IN ({SEEDLIST}) AND vec_id < seed), b AS (SELECT s FROM p WHERE vec_id NOT IN ({SEEDLIST})), u AS (SELECT avg((b.s < w.s)::INTEGER) AS u FROM w, b) SELECT round(greatest(u - 0.5, 0) * 2, 6) AS coherence FROM u"),
     "answer_join": (answer_join, f"WITH {EV}, v AS (SELECT user_id, (row_number() OVER (ORDER BY value, event_id) - 1) / (count(*) OVER () - 1)::DOUBLE AS x, (row_number() OVER (ORDER BY ts, event_id) - 1) / (count(*) OVER () - 1)::DOUBLE AS y FROM ev WHERE stream = 'view'), c AS (SELECT user_id, (row_number() OVER (ORDER BY value, event_id) - 1) / (count(*) OVER () - 1)::DOUBLE AS x FROM ev WHERE stream = 'click'), k AS (SELECT user_id, max(least(x, y)) AS s FROM v GROUP BY 1 UNION ALL SELECT user_id, max(x) FROM c GROUP BY 1) SELECT user_id AS episode, round(min(s), 6) AS score, count(*) AS kinds FROM k GROUP BY 1"),
@@ -322,6 +374,6 @@ QUERIES = {
     "changepoints": (changepoints, None),
     "event_segmentation": (event_segmentation, None),
     "foote_novelty": (foote_novelty, None),
-    "arc_resampling": (arc_resampling, None),
+    "arc_resampling": (arc_resampling, ARC),
     "gallery_assign": (gallery_assign, None),
 }

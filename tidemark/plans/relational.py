@@ -38,8 +38,7 @@ def idf_names(spark, d):
 
 def tfidf_score(spark, d):
     docs = table(spark, d, "documents")
-    w = text.tf_idf(docs, "doc_id", text.words(F.col("text")))
-    return text.term_scores(w, "doc_id", {"the": 0.5, "of": 0.25, "with": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+    return text.query_scores(docs, "doc_id", text.words(F.col("text")), {"the": 0.5, "of": 0.25, "with": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def char_ngram_overlap(spark, d):
