@@ -1,7 +1,10 @@
 """The corpus pipeline: documents to packed training sequences in four stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one
-before kept; all but the last return the columns of documents.
+before kept; all but the last return the columns of documents, whatever further
+columns there are and whatever they are called.  Nulls in any column, empty and
+very long texts, repeated rows and empty tables pass through as the docstrings
+say.
 """
 
 from __future__ import annotations
@@ -23,7 +26,12 @@ BROADCAST_ROWS = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an identified language; null, empty and letterless texts and uncertain ones go."""
+    """Documents of an identified language; null, empty and letterless texts and uncertain ones go.
+
+    The posterior of the best language must be MIN_SCORE at least, so ties of three
+    languages go.  Whole texts of any length count; repeated rows are judged alike.
+    Without any labelled row nothing can be identified and nothing stays.
+    """
     found = predict(docs, train(docs))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
@@ -48,13 +56,22 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark: ten words in a row of an item, or a whole shorter item.
+
+    Null and empty texts have no words and stay, as do all documents if the
+    benchmark is empty.  Rows are judged one by one, so repeated and null ids do
+    not matter.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("spans") == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1024 tokens, each with its ids."""
+    """The pieces of sequences of 1024 tokens, each with its ids.
+
+    Every row is a document of its own, with repeated and null ids too; null and
+    empty texts are the end id alone, and long ones fill sequences.
+    """
     return pack(docs, tokenizer_path(), 1024, 0).withColumnRenamed("key", "doc_id")
 
 

@@ -7,10 +7,16 @@ prefixes before it: the last token of text[:i] is the token t that ends at i
 and is compatible with the last token of text[:i - len(t)], and
 count[i] = count[i - len(t)] + 1.  Counts of truncated texts, and the longest
 prefix within a budget, are lookups afterwards; nothing is encoded again.
+
+Tokenizers of other kinds give the counts of a word's prefixes themselves, each
+different word once; a space between two plain letters or digits parts words.
+A stretch without such a space is one word, and its cost grows with the square
+of its length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._bytes import text_batches, windows
-from tidemark.llm.tokenize import PieceEncoder
+from tidemark.llm.tokenize import CACHED_BYTES, PieceEncoder
 
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
 PAIRS = 500_000
+#: Where words part for tokenizers of other kinds, and prefixes that are encoded at once.
+_BETWEEN, _PREFIXES = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])"), 256
 #: White space by Unicode; Python and the regex module count four separators more.
 _WHITE = r"[^\S\x1c-\x1f]"
 
@@ -49,6 +57,7 @@ class PrefixCounter(PieceEncoder):
         import regex
 
         super().__init__(path)
+        self.words: dict[str, list[int]] = {}
         if not self.by_piece:
             return
         alphabet = _byte_alphabet()
@@ -156,12 +165,31 @@ class PrefixCounter(PieceEncoder):
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(size.sum())), size
 
+    def by_words(self, text: str) -> list[int]:
+        """count[i] for i = 1..len(text), from counts of words; each but the first begins with its space and stands after a letter."""
+        out, base = [], 0
+        for k, word in enumerate(_BETWEEN.split(text)):
+            known = self.words.get(word) if k else None
+            if known is None:
+                lead = "x" if k else ""
+                least = int(self.library([lead])[1][0]) if k else 0
+                known = []
+                for a in range(0, len(word), _PREFIXES):
+                    known += (self.library([lead + word[: i + 1] for i in range(a, min(len(word), a + _PREFIXES))])[1] - least).tolist()
+                if k and len(word) <= CACHED_BYTES:
+                    if len(self.words) > PAIRS:
+                        self.words.clear()
+                    self.words[word] = known
+            out += [base + c for c in known]
+            base = out[-1] if out else 0
+        return out
+
     def prefix_counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts of all non-empty prefixes, rows end to end, and where each row starts (one entry more); null rows are empty."""
         if not self.by_piece:
             texts = [x or "" for x in column.to_pylist()]
-            got = [self.library([x[: i + 1] for i in range(len(x))])[1] if x else [] for x in texts]
-            return np.concatenate([np.zeros(0, dtype=np.int64), *got]).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in texts])]
+            got = [self.by_words(x) for x in texts]
+            return np.fromiter(chain.from_iterable(got), dtype=np.int64), np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)
         flat, size, before, _, _ = self.pieces(column)
         stops = np.cumsum(size)
         total = flat[stops - 1].astype(np.int64) if len(size) else stops  # a piece has one character at least

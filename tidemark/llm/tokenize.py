@@ -68,12 +68,19 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of whole texts for one tokenizer file, as the library gives them without added special tokens."""
+    """Ids of whole texts for one tokenizer file, as its library gives them without added special tokens: sentencepiece for .model, else tokenizers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread; the library's own would multiply its memory
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            self.by_piece, self.model = False, SentencePieceProcessor(model_file=path)
+            self._clear()
+            return
         from tokenizers import Tokenizer
 
+        self.model = None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -96,7 +103,7 @@ class PieceEncoder:
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and how many each has, straight from the library."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if self.model is None else self.model.encode(texts, num_threads=1)
         count = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(count.sum()))
         return flat, count
