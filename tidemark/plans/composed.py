@@ -169,7 +169,30 @@ BASIS = f"""
     SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER AS rank, round(score, 6) AS score FROM t QUALIFY rank <= 15
 """
 
+def channel_operators(spark, d):
+    """Two channels whose tables declare how they are scored, one by an operator registered for it."""
+    from tidemark.functions import registry
+
+    registry.register_operator("first", lambda a, b: F.element_at(a, 1) - F.element_at(b, 1))
+    own, q = store(spark), vector_of(spark, d, Q)
+    rows = embeddings(spark, d).select(F.col("vec_id").alias("ts"), "vec_id", "embedding")
+    own.table("look").append(rows, kind="embeddings")
+    own.table("edge").append(rows, kind="embeddings", notes={"op": "first"})
+    parts = [registry.channel_score(own.table(n), "embedding", q).select(F.lit(n).alias("channel"), F.lit(registry.operator_of(own.table(n))).alias("op"), "vec_id", F.round("score", 6).alias("score")) for n in ("look", "edge")]
+    return parts[0].unionByName(parts[1])
+
+
+def sql_functions(spark, d):
+    from tidemark.functions import registry
+
+    registry.register_sql(spark)
+    embeddings(spark, d).createOrReplaceTempView("tidemark_vectors")
+    return spark.sql(f"SELECT a.vec_id, round(vector_cosine(a.embedding, b.embedding), 6) AS cosine, round(vector_dot(a.embedding, slice(b.embedding, 1, 3)), 6) AS differing, overlaps(a.vec_id, NULL, 10, 90) AS inside FROM tidemark_vectors a JOIN tidemark_vectors b ON b.vec_id = {Q}")
+
+
 QUERIES = {
+    "channel_operators": (channel_operators, f"SELECT 'look' AS channel, 'cosine' AS op, vec_id, round({DOT.format(a='embedding', b=_query(Q))}, 6) AS score FROM embeddings UNION ALL SELECT 'edge', 'first', vec_id, round(embedding[1]::DOUBLE - {_query(Q)}[1], 6) FROM embeddings"),
+    "sql_functions": (sql_functions, f"SELECT vec_id, round({DOT.format(a='embedding', b=_query(Q))} / (sqrt({DOT.format(a='embedding', b='embedding')}) * sqrt({DOT.format(a=_query(Q), b=_query(Q))})), 6) AS cosine, NULL::DOUBLE AS differing, vec_id BETWEEN 10 AND 90 AS inside FROM embeddings"),
     "relation_cues": (relation_cues, "SELECT item_id, CASE " + " ".join(f"WHEN contains(lower(text), '{p}') THEN '{n}'" for p, n in CUES) + " END AS relation FROM benchmark"),
     "episode_kinds": (episode_kinds, f"WITH {EV} SELECT user_id, array_to_string(list_sort(list_distinct(list(stream))), ',') AS kinds FROM ev GROUP BY user_id"),
     "verified_search": (verified_search, VERIFIED),

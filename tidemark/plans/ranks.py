@@ -298,6 +298,15 @@ ARC = f"""
 """
 
 
+_STEP = "sum({c}) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) - sum({c}) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS {c}"
+FOOTE = f"""
+    WITH {EV}, x AS (SELECT user_id, ts, value / 500 AS a, sin(value) AS b, cos(value) AS c FROM ev),
+    u AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n, a / l AS a, b / l AS b, c / l AS c FROM (SELECT *, sqrt(a * a + b * b + c * c) + 1e-8 AS l FROM x)),
+    d AS (SELECT user_id, step, n, {_STEP.format(c="a")}, {_STEP.format(c="b")}, {_STEP.format(c="c")} FROM u)
+    SELECT user_id, step, round(CASE WHEN step BETWEEN 4 AND n - 4 THEN a * a + b * b + c * c ELSE 0 END, 6) AS novelty FROM d
+"""
+
+
 def suppressed(radius: int, rounds: int = 20) -> str:
     """Greedy suppression in SQL, a round at a time: rows best within the radius stay, and what lies near them goes."""
     near = f"OVER (PARTITION BY stream ORDER BY position RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
@@ -373,7 +382,7 @@ QUERIES = {
     "nw_chain": (nw_chain, None),
     "changepoints": (changepoints, None),
     "event_segmentation": (event_segmentation, None),
-    "foote_novelty": (foote_novelty, None),
+    "foote_novelty": (foote_novelty, FOOTE),
     "arc_resampling": (arc_resampling, ARC),
     "gallery_assign": (gallery_assign, None),
 }
