@@ -228,7 +228,7 @@ def dtw_free_ends(spark, d):
 def dtw_subsequence(spark, d):
     q = sequences.unit_rows(_query_trace(spark, d)[:6])
     own = events(spark, d).select("user_id", "ts", F.array(F.col("value") / 500, F.sin("value"), F.cos("value")).alias("v"))
-    return sequences.per_group(own, "user_id", "ts", "v", lambda x: [sequences.warp_subsequence(q, sequences.unit_rows(x))], "start long, end long, cost double")
+    return sequences.per_group(own, "user_id", "ts", "v", lambda x: [sequences.warp_subsequence(q, sequences.unit_rows(x))], "start long, end long, cost double").withColumn("cost", F.round("cost", 6))
 
 
 def localize_rigid(spark, d):
@@ -307,6 +307,48 @@ FOOTE = f"""
 """
 
 
+#: Unit rows of every user's trace.
+UNIT = f"WITH {EV}, x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n, value / 500 AS a, sin(value) AS b, cos(value) AS c FROM ev), u AS (SELECT user_id, j, n, a / l AS a, b / l AS b, c / l AS c FROM (SELECT *, sqrt(a * a + b * b + c * c) + 1e-8 AS l FROM x))"
+ROWS_OF = ", q AS (SELECT row_number() OVER (ORDER BY j) - 1 AS i, a, b, c FROM u WHERE user_id = 3 AND j >= {low} AND j < {high})"
+
+
+def warped(low: int, high: int, corner: float, along: float, penalty: float, free: bool, band: float | None = None) -> str:
+    """Cheapest paths of rows low..high of user 3's trace through all others, row by row: CTEs up to t<rows - 1> of (user_id, j, n, t, e).
+
+    Along a row a path pays `along` x the cost and the penalty for each step, so
+    the best is a running minimum once what the whole row costs so far is taken off.
+    """
+    m = high - low
+    over = "OVER (PARTITION BY user_id ORDER BY j)"
+    parts = [UNIT + ROWS_OF.format(low=low, high=high)]
+    for i in range(m):
+        parts.append(f"c{i} AS (SELECT user_id, j, n, w, sum({along} * w + {penalty}) {over} AS cw FROM (SELECT u.user_id, u.j, u.n, 1 - (u.a * q.a + u.b * q.b + u.c * q.c) AS w FROM u, q WHERE q.i = {i}))")
+        inside = "true" if band is None else f"j BETWEEN floor({i} * (n - 1) / {max(m - 1, 1)} - greatest(2, round_even({band} * n, 0))) AND ceil({i} * (n - 1) / {max(m - 1, 1)} + greatest(2, round_even({band} * n, 0)))"
+        if i == 0:
+            first = f"{corner} * w" if free else f"cw + first_value(w) {over}"
+            parts.append(f"t0 AS (SELECT user_id, j, n, CASE WHEN {inside} THEN {first} ELSE 'inf'::DOUBLE END AS t, {'j' if free else 0} AS e FROM c0)")
+            continue
+        parts.append(f"p{i} AS (SELECT c.user_id, c.j, c.n, c.cw, coalesce(lag(t) OVER w, 'inf'::DOUBLE) + {corner} * c.w AS x, t + c.w + {penalty} AS y, coalesce(lag(e) OVER w, 0) AS ex, e AS ey FROM t{i - 1} t JOIN c{i} c ON t.user_id = c.user_id AND t.j = c.j WINDOW w AS (PARTITION BY t.user_id ORDER BY t.j))")
+        parts.append(f"r{i} AS (SELECT user_id, j, n, cw, min({{'v': CASE WHEN {inside} THEN least(x, y) - cw ELSE 'inf'::DOUBLE END, 'e': CASE WHEN x <= y THEN ex ELSE ey END}}) {over} AS b FROM p{i})")
+        parts.append(f"t{i} AS (SELECT user_id, j, n, CASE WHEN {inside} THEN b.v + cw ELSE 'inf'::DOUBLE END AS t, b.e AS e FROM r{i})")
+    return ", ".join(parts)
+
+
+def placed(low: int, high: int, first: str) -> str:
+    """CTE l: the stretch of each trace, as long as rows low..high of user 3's, with the largest sum of products."""
+    m = high - low
+    return f"""{first}, s AS (SELECT u.user_id, u.j - q.i AS k, any_value(u.n) AS n, sum(u.a * q.a + u.b * q.b + u.c * q.c) AS s FROM u, q GROUP BY 1, 2),
+        l AS (SELECT user_id, CASE WHEN n <= {m} THEN 0 ELSE k END AS start, CASE WHEN n <= {m} THEN n ELSE k + {m} END AS "end" FROM s WHERE n <= {m} AND k = 0 OR k BETWEEN 0 AND n - {m} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, k) = 1)"""
+
+
+def nearest_warped(free: bool = False, band: float | None = None, places: bool = False) -> str:
+    """The ten nearest traces to the first sixteen rows of user 3's."""
+    ends = "min(t / (16 + j - e + 1))" if free else "min(t / (16 + n)) FILTER (j = n - 1)"
+    head = warped(0, 16, 2.0, 1.0, 0.0, free, band)
+    head = placed(0, 16, head) if places else head
+    return head + f", d AS (SELECT user_id, {ends} AS d FROM t15 GROUP BY 1 ORDER BY d, user_id LIMIT 10) SELECT user_id, round(d, 6) AS distance{', start, l.end' if places else ''} FROM d {'JOIN l USING (user_id)' if places else ''}"
+
+
 def suppressed(radius: int, rounds: int = 20) -> str:
     """Greedy suppression in SQL, a round at a time: rows best within the radius stay, and what lies near them goes."""
     near = f"OVER (PARTITION BY stream ORDER BY position RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
@@ -374,11 +416,11 @@ QUERIES = {
     "anti_exclusion": (anti_exclusion, "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 2)"),
     "recall_resolution": (recall_resolution, f"WITH {SC}, s AS (SELECT vec_id, label, round(a, 9) AS a FROM sc WHERE round(a, 9) >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY a DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS support FROM s) SELECT label, vec_id, round(a, 6) AS best, support FROM r WHERE k = 1"),
     "search_set_pipeline": (search_set_pipeline, None),
-    "dtw_anchored": (dtw_anchored, None),
-    "dtw_banded": (dtw_banded, None),
-    "dtw_free_ends": (dtw_free_ends, None),
-    "dtw_subsequence": (dtw_subsequence, None),
-    "localize_rigid": (localize_rigid, None),
+    "dtw_anchored": (dtw_anchored, nearest_warped()),
+    "dtw_banded": (dtw_banded, nearest_warped(band=0.25, places=True)),
+    "dtw_free_ends": (dtw_free_ends, nearest_warped(free=True)),
+    "dtw_subsequence": (dtw_subsequence, warped(0, 6, 1.0, 0.0, 0.05, True) + " SELECT user_id, e AS start, j AS \"end\", round(t / 6, 6) AS cost FROM t5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, j) = 1"),
+    "localize_rigid": (localize_rigid, placed(4, 10, UNIT + ROWS_OF.format(low=4, high=10)) + " SELECT * FROM l"),
     "nw_chain": (nw_chain, None),
     "changepoints": (changepoints, None),
     "event_segmentation": (event_segmentation, None),
