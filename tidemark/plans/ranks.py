@@ -341,6 +341,18 @@ def placed(low: int, high: int, first: str) -> str:
         l AS (SELECT user_id, CASE WHEN n <= {m} THEN 0 ELSE k END AS start, CASE WHEN n <= {m} THEN n ELSE k + {m} END AS "end" FROM s WHERE n <= {m} AND k = 0 OR k BETWEEN 0 AND n - {m} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, k) = 1)"""
 
 
+#: Global alignments row by row of user 3's chain; along a row the best is a running maximum once the gaps are taken off.
+CHAINS = f"""
+    WITH RECURSIVE {EV}, o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, stream) AS j, count(*) OVER (PARTITION BY user_id) AS n, stream FROM ev),
+    t AS (SELECT 0 AS i, user_id, j, n, j * -0.6::DOUBLE AS t FROM (SELECT user_id, j, n FROM o UNION ALL SELECT DISTINCT user_id, 0, n FROM o)
+          UNION ALL
+          SELECT i + 1, user_id, j, n, max(x + 0.6 * j) OVER (PARTITION BY user_id ORDER BY j) - 0.6 * j
+          FROM (SELECT t.i, t.user_id, t.j, t.n, greatest(t.t - 0.6, coalesce(lag(t.t) OVER (PARTITION BY t.user_id ORDER BY t.j) + CASE WHEN o.stream = q.stream THEN 1 ELSE -0.5 END, '-inf'::DOUBLE)) AS x
+                FROM t JOIN o q ON q.user_id = 3 AND q.j = t.i + 1 LEFT JOIN o ON o.user_id = t.user_id AND o.j = t.j))
+    SELECT user_id, round(t / greatest(n, i), 6) AS score FROM t WHERE j = n AND i = (SELECT max(n) FROM o WHERE user_id = 3)
+"""
+
+
 def nearest_warped(free: bool = False, band: float | None = None, places: bool = False) -> str:
     """The ten nearest traces to the first sixteen rows of user 3's."""
     ends = "min(t / (16 + j - e + 1))" if free else "min(t / (16 + n)) FILTER (j = n - 1)"
@@ -354,11 +366,28 @@ def suppressed(radius: int, rounds: int = 20) -> str:
     near = f"OVER (PARTITION BY stream ORDER BY position RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
     parts = [f"WITH {EV}, u0 AS (SELECT event_id, stream, position, row_number() OVER (ORDER BY value DESC, position) AS r FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts) AS position FROM ev))"]
     for k in range(rounds):
-        parts.append(f"k{k} AS (SELECT * FROM u{k} QUALIFY r = min(r) {near}), u{k + 1} AS (SELECT event_id, stream, position, r FROM (SELECT u{k}.*, max(CASE WHEN k{k}.event_id IS NOT NULL THEN 1 ELSE 0 END) {near.replace('stream', f'u{k}.stream').replace('position', f'u{k}.position')} AS gone FROM u{k} LEFT JOIN k{k} USING (event_id)) WHERE gone = 0)")
+        parts.append(f"k{k} AS MATERIALIZED (SELECT * FROM u{k} QUALIFY r = min(r) {near}), u{k + 1} AS MATERIALIZED (SELECT event_id, stream, position, r FROM (SELECT u{k}.*, max(CASE WHEN k{k}.event_id IS NOT NULL THEN 1 ELSE 0 END) {near.replace('stream', f'u{k}.stream').replace('position', f'u{k}.position')} AS gone FROM u{k} LEFT JOIN k{k} USING (event_id)) WHERE gone = 0)")
     # a round too few would leave rows, which would be too many
     return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT event_id FROM k{k}" for k in range(rounds)) + f" UNION ALL SELECT event_id FROM u{rounds}"
 
 
+def search_set(rounds: int = 12) -> str:
+    """search_set_pipeline in SQL: fusion, a feedback voter, fusion again, the unanimous filter, suppression round by round, and the cut."""
+    near = "OVER (PARTITION BY u{k}.label ORDER BY u{k}.vec_id RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    parts = [f"WITH {RK}, f0 AS (SELECT vec_id, 1.0::DOUBLE / (61 + xa) + 1.0::DOUBLE / (61 + xb) AS s FROM fu), t AS (SELECT vec_id FROM f0 ORDER BY s DESC, vec_id LIMIT 25)"]
+    parts.append("f AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id IN (FROM t)), m AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS m FROM f GROUP BY 1)), e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+    parts.append("fb AS (SELECT vec_id, row_number() OVER (ORDER BY list_inner_product(e, m) / (sqrt(list_inner_product(m, m)) + 1e-8) / (sqrt(list_inner_product(e, e)) + 1e-8) DESC, vec_id) - 1 AS x FROM e, m)")
+    parts.append("ag AS MATERIALIZED (SELECT vec_id, label, a, b, 1.0::DOUBLE / (61 + xa) + 1.0::DOUBLE / (61 + xb) + 3.0::DOUBLE / (61 + fb.x) AS score FROM fu JOIN fb USING (vec_id))")
+    parts.append("ga AS (SELECT vec_id, (row_number() OVER (ORDER BY a, vec_id) - 1) / (count(*) OVER () - 1)::DOUBLE AS y FROM ag), gb AS (SELECT vec_id, (row_number() OVER (ORDER BY b, vec_id) - 1) / (count(*) OVER () - 1)::DOUBLE AS y FROM ag WHERE b IS NOT NULL)")
+    parts.append("u0 AS MATERIALIZED (SELECT vec_id, label, score, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ag JOIN ga USING (vec_id) LEFT JOIN gb USING (vec_id) WHERE greatest(ga.y, coalesce(gb.y, 0.5)) >= 0.1)")
+    for k in range(rounds):
+        own = near.format(k=k)
+        parts.append(f"k{k} AS MATERIALIZED (SELECT * FROM u{k} QUALIFY r = min(r) {own}), u{k + 1} AS MATERIALIZED (SELECT vec_id, label, score, r FROM (SELECT u{k}.*, max(CASE WHEN k{k}.vec_id IS NOT NULL THEN 1 ELSE 0 END) {own} AS gone FROM u{k} LEFT JOIN k{k} USING (vec_id)) WHERE gone = 0)")
+    parts.append("th AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT vec_id, score AS s FROM k{k}" for k in range(rounds)) + f" UNION ALL SELECT vec_id, score FROM u{rounds})")
+    parts.append("me AS (SELECT median(s) AS m FROM th), dv AS (SELECT m, median(abs(s - m)) AS d FROM th, me GROUP BY m), kk AS (SELECT greatest(1, least(count(*) FILTER (s >= m + 3 * 1.4826 * d), 50)) AS base FROM th, dv), tp AS (SELECT avg(s) AS t FROM (SELECT s FROM th ORDER BY s DESC LIMIT 5)), hd AS (SELECT count(*) FILTER (s >= 0.8 * t) AS h FROM th, tp)")
+    return ", ".join(parts) + " SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INTEGER AS rank FROM th QUALIFY rank <= (SELECT greatest(least(h, 50), base) FROM hd, kk)"
+
+
 def like() -> str:
     """search_like_qbe in SQL: two channels, their qualities, and every seed held out in turn."""
     listed = ", ".join(map(str, SEEDS))
@@ -415,13 +444,13 @@ QUERIES = {
     "two_hop_objects": (two_hop_objects, "SELECT l_orderkey AS episode, count(DISTINCT l_partkey) AS shared FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 7) AND l_orderkey <> 7 GROUP BY 1"),
     "anti_exclusion": (anti_exclusion, "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 2)"),
     "recall_resolution": (recall_resolution, f"WITH {SC}, s AS (SELECT vec_id, label, round(a, 9) AS a FROM sc WHERE round(a, 9) >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY a DESC, vec_id) AS k, count(*) OVER (PARTITION BY label) AS support FROM s) SELECT label, vec_id, round(a, 6) AS best, support FROM r WHERE k = 1"),
-    "search_set_pipeline": (search_set_pipeline, None),
+    "search_set_pipeline": (search_set_pipeline, search_set()),
     "dtw_anchored": (dtw_anchored, nearest_warped()),
     "dtw_banded": (dtw_banded, nearest_warped(band=0.25, places=True)),
     "dtw_free_ends": (dtw_free_ends, nearest_warped(free=True)),
     "dtw_subsequence": (dtw_subsequence, warped(0, 6, 1.0, 0.0, 0.05, True) + " SELECT user_id, e AS start, j AS \"end\", round(t / 6, 6) AS cost FROM t5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, j) = 1"),
     "localize_rigid": (localize_rigid, placed(4, 10, UNIT + ROWS_OF.format(low=4, high=10)) + " SELECT * FROM l"),
-    "nw_chain": (nw_chain, None),
+    "nw_chain": (nw_chain, CHAINS),
     "changepoints": (changepoints, None),
     "event_segmentation": (event_segmentation, None),
     "foote_novelty": (foote_novelty, FOOTE),
