@@ -172,11 +172,11 @@ def feedback(df: DataFrame, key: str, vector: str, score: str, top: int = 25, ou
 
 def search_set(df: DataFrame, channels: dict[str, float], key: str, vector: str, stream: str, position: str, most: int, alpha: float = 0.0, q: float = 0.1, radius: int = 0, feedback_weight: float = 3.0) -> DataFrame:
     """Channels fused by reciprocal ranks, a feedback voter, a unanimous filter, suppression of neighbours, and a calibrated cut."""
-    fused = ranking.rrf(df, channels, key, out="__first")
+    fused = written(ranking.rrf(df, channels, key, out="__first"), "first")
     voted = feedback(fused, key, vector, "__first")
     again = ranking.rrf(voted.drop("__first", *(f"rank_{c}" for c in channels)), {**channels, "feedback": feedback_weight}, key, out="score")
-    kept = ranking.unanimous(again, list(channels), key, q)
-    thin = ranking.suppress(kept, stream, position, "score", radius)
+    kept = ranking.unanimous(written(again, "again"), list(channels), key, q)
+    thin = written(ranking.suppress(kept, stream, position, "score", radius), "thin")
     cut = ranking.confidence_cut(thin, "score", alpha, most)
     ranked = thin.orderBy(F.col("score").desc(), key).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)))
     return ranked.crossJoin(F.broadcast(cut)).where(F.col("rank") <= F.col("keep")).drop("keep")
