@@ -4,9 +4,10 @@ A document's set is its distinct n-grams (64-bit hashes) in one global order,
 rare ones first.  Two sets of Jaccard similarity 3/4 or more share some n-grams in
 their beginnings (a quarter of each set and SHARED - 1 members more), so:
 
-1.  A sketch of n-gram frequencies (a fixed number of counters) gives the order.
-    Any order is right; a good one keeps n-grams of common passages out of the
-    beginnings.
+1.  N-grams are counted by the upper half of their hashes, part by part, and
+    frequent ones come last in the order.  Any order is right; a good one keeps
+    n-grams of common passages out of the beginnings.  Counters are far more than
+    n-grams, so that rare n-grams do not hide frequent ones in a large corpus.
 2.  Beginnings are dealt by n-gram.  Sets that meet in n-grams that few sets have
     are tied if they meet SHARED times and their sizes and places allow a link;
     where many sets have an n-gram all are tied to the least of them.  The latter
@@ -24,7 +25,7 @@ their beginnings (a quarter of each set and SHARED - 1 members more), so:
     tree of its own.
 
 Equal sets are one set from the start.  Groups, blocks and their pairs are tables;
-the driver gets the counters of the sketch and some sums.  A side of a join is
+the driver gets a bounded number of frequent n-grams and some sums.  A side of a join is
 broadcast where a sum of its bytes is small, and else dealt with salt, so a
 group of any size is many tasks.
 """
@@ -45,10 +46,12 @@ from tidemark.session import written
 
 #: Words in an n-gram; similarity at least NEED of OF.
 WORDS, NEED, OF = 5, 75, 100
-#: Counters of the frequency sketch, in parts; an n-gram is frequent when its counter is RATIO times the mean and FEWEST at least.
-COUNTERS, PARTS = 1 << 24, 64
+#: Counters (the upper 32 bits of a hash) are dealt in parts; an n-gram is frequent when its counter is RATIO times the mean and FEWEST at least.
+BITS, PARTS = 32, 1024
 RATIO, FEWEST = 1.75, 4
-_SHIFT = np.uint64(64 - 24)
+_SHIFT = np.uint64(64 - BITS)
+#: Frequent n-grams that tasks know, the most frequent ones (5 bytes each), and n-grams that a task counts before it passes them on.
+KNOWN, COUNTED = 4 << 20, 4 << 20
 #: Sets that one prefix tree holds, and sets in a block of a larger group.
 GROUP_SETS, BLOCK_SETS = 400, 200
 #: Bytes of text whose first quarters are combined before they are dealt, and of dealt n-grams in a bucket.
@@ -111,14 +114,19 @@ def needed(a: object, b: object) -> object:
     return -(-NEED * (a + b) // (OF + NEED))
 
 
-def _in_order(grams: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The same sets, members in the global order: class of frequency first, then hash."""
+def _in_order(grams: np.ndarray, at: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same sets, members in the global order: class of frequency first (0 for n-grams that are not known as frequent), then hash."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return grams[np.lexsort((grams, classes[grams >> _SHIFT], row))]
+    known, level = classes
+    if not len(known):
+        return grams[np.lexsort((grams, row))]
+    own = (grams >> _SHIFT).astype(np.uint32)
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return grams[np.lexsort((grams, np.where(known[place] == own, level[place], 0), row))]
 
 
 def _frequency_classes(counts: np.ndarray, mean: float) -> np.ndarray:
-    """0 for counters near the mean, else 1 and the logarithm of how often they are above what makes an n-gram frequent."""
+    """0 for counters below what makes an n-gram frequent, else 1 and the logarithm of how often they are above it."""
     return np.floor(np.log2(np.maximum(counts / max(RATIO * mean, FEWEST), 0.5)) + 1).astype(np.uint8)
 
 
@@ -233,47 +241,93 @@ def _stats(df: DataFrame, text: str, keep: list[str], n: int) -> DataFrame:
     source = df.select(*keep, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"), F.col(text).alias("__text"))
     kinds = source.select(*keep, "__key").schema
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields), "__size long, __set long, __part int, __counts binary"])
-    width = COUNTERS // PARTS
+
+    def counted(places: list[np.ndarray], kept: list[pa.Field]) -> pa.RecordBatch:
+        place, times = np.unique(np.concatenate(places), return_counts=True)
+        part = place >> np.uint32(BITS - PARTS.bit_length() + 1)
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        raw = [_packed(place[a:b], times[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(raw), f.type) for f in kept), pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.int64()), pa.array(part[edge[:-1]].astype(np.int32)), pa.array(raw, pa.binary())], names=[*(f.name for f in kept), "__size", "__set", "__part", "__counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint16)
+        places: list[np.ndarray] = []
         kept: list[pa.Field] = []
         for batch in batches:
             for part in windows(batch, "__text"):
                 grams, at = ngrams(part.column("__text"), n)
-                place, times = np.unique(grams >> _SHIFT, return_counts=True)
-                counts[place] = np.minimum(counts[place] + times, 65535)
+                if len(grams):
+                    places.append((grams >> _SHIFT).astype(np.uint32))
                 size = np.diff(at)
                 rows = part.num_rows
                 kept = [part.schema.field(c) for c in [*keep, "__key"]]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(size), pa.array(set_ids(grams, at), mask=size == 0), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=[*(f.name for f in kept), "__size", "__set", "__part", "__counts"])
-        if not kept or not counts.any():
-            return
-        parts = [k for k in range(PARTS) if counts[k * width : (k + 1) * width].any()]
-        raw = [zlib.compress(counts[k * width : (k + 1) * width].tobytes(), 1) for k in parts]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), f.type) for f in kept), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(raw, pa.binary())], names=[*(f.name for f in kept), "__size", "__set", "__part", "__counts"])
+                if sum(map(len, places)) > COUNTED:
+                    yield counted(places, kept)
+                    places = []
+        if places:
+            yield counted(places, kept)
 
     return written(source.mapInArrow(run, fields), "sets")
 
 
-def _classes(stats: DataFrame, members: int) -> np.ndarray:
-    """The frequency class of each counter, from the sums of the tasks' counters, part by part."""
-    mean = members / COUNTERS
+def _packed(place: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending places and how often each came, by planes of the bytes of their differences."""
+    planes = np.diff(place, prepend=place[:1]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return np.uint32(place[0]).tobytes() + zlib.compress(planes.tobytes() + np.minimum(times, 65535).astype("<u2").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(raw[4:])
+    n = len(data) // 6
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    return np.frombuffer(raw[:4], "<u4")[0] + np.cumsum(steps, dtype=np.uint32), np.frombuffer(data, "<u2", n, 4 * n).astype(np.int64)
+
+
+def _classes(stats: DataFrame, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of frequent n-grams, ascending, and their classes; KNOWN at most, by whole classes from the most frequent on."""
+    mean, width = members / 2.0**BITS, 1 << (BITS - PARTS.bit_length() + 1)
+
+    def flush(part: int, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        place, times = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        if len(place) < width // 16:
+            place, at = np.unique(place, return_inverse=True)
+            total = np.bincount(at, times)
+        else:
+            total = np.bincount(place - np.uint32(part * width), times, width)
+            place = np.arange(part * width, (part + 1) * width, dtype=np.uint32)
+        often = total >= max(RATIO * mean, FEWEST)
+        place, level = place[often], _frequency_classes(total[often], mean)
+        levels = np.unique(level).tolist()
+        if levels:
+            own = [place[level == x] for x in levels]
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array([len(x) for x in own], pa.int64()), pa.array([_packed(x, np.ones(len(x))) for x in own], pa.binary())], names=["level", "n", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        now, found = None, []
         for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), dtype=np.uint16).astype(np.int64)
-                total[part] = total[part] + own if part in total else own
-        if total:
-            yield pa.RecordBatch.from_pydict({"part": list(total), "classes": [zlib.compress(_frequency_classes(v, mean).tobytes(), 1) for v in total.values()]}, schema=pa.schema([("part", pa.int32()), ("classes", pa.binary())]))
-
-    classes = np.zeros((PARTS, COUNTERS // PARTS), dtype=np.uint8)
-    dealt = stats.where("__part is not null").select(F.col("__part").alias("part"), F.col("__counts").alias("counts")).repartition(16, "part")
-    for r in dealt.mapInArrow(run, "part int, classes binary").collect():  # a byte for each of the counters
-        classes[r["part"]] = np.frombuffer(zlib.decompress(r["classes"]), np.uint8)
-    return classes.reshape(-1)
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and found:
+                    yield from flush(now, found)
+                    found = []
+                now = part
+                found.append(_unpacked(raw.as_py()))
+        if found:
+            yield from flush(now, found)
+
+    dealt = stats.where("__part is not null").select(F.col("__part").alias("part"), F.col("__counts").alias("counts")).repartition("part").sortWithinPartitions("part")
+    often = written(dealt.mapInArrow(run, "level int, n long, places binary"), "frequent")
+    least, room = 256, KNOWN
+    for r in often.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # a row for a power of two
+        if r["n"] > room:
+            break
+        least, room = r["level"], room - r["n"]
+    rows = [(r["level"], _unpacked(r["places"])[0]) for r in often.where(F.col("level") >= least).select("level", "places").collect()]
+    if not rows:
+        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)
+    place = np.concatenate([x for _, x in rows])
+    level = np.repeat(np.array([k for k, _ in rows], dtype=np.uint8), [len(x) for _, x in rows])
+    order = np.argsort(place)
+    return place[order], level[order]
 
 
 def _block_pairs(token: np.ndarray, owner: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
