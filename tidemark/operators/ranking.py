@@ -240,16 +240,26 @@ def suppress(df: DataFrame, stream: str, position: str, score: str, radius: int)
     names = df.columns
 
     def keep(pdf: object) -> object:
-        order = pdf.sort_values([score, position], ascending=[False, True], kind="stable")
-        taken: list = []
-        chosen = []
-        for k, p in zip(order.index, order[position], strict=True):
-            at = np.searchsorted(taken, p)
-            near = [taken[i] for i in (at - 1, at) if 0 <= i < len(taken)]
-            if not any(abs(p - t) <= radius for t in near):
-                taken.insert(at, p)
-                chosen.append(k)
-        return pdf.loc[chosen, names]
+        """A row that stays strikes out its neighbours; a row has two such at most beside those at one place, so this is linear."""
+        order = pdf[[score, position]].reset_index(drop=True).sort_values([score, position], ascending=[False, True], kind="stable").index.tolist()
+        by = np.argsort(pdf[position].to_numpy(), kind="stable")
+        place, at = np.empty(len(by), dtype=np.int64), pdf[position].to_numpy()[by].tolist()
+        place[by] = np.arange(len(by))
+        place, open_, chosen = place.tolist(), bytearray(b"\1") * len(by), []
+        for k in order:
+            i = place[k]
+            if not open_[i]:
+                continue
+            chosen.append(k)
+            j = i - 1
+            while j >= 0 and at[i] - at[j] <= radius:
+                open_[j] = 0
+                j -= 1
+            j = i + 1
+            while j < len(at) and at[j] - at[i] <= radius:
+                open_[j] = 0
+                j += 1
+        return pdf.iloc[chosen][names]
 
     return runs.groupBy(stream, "__run").applyInPandas(keep, df.schema)
 
