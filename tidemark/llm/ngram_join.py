@@ -15,8 +15,8 @@ their beginnings (a quarter of each set and SHARED - 1 members more), so:
     costs a task no more than any other.
 3.  The components of the ties are groups that no link leaves.  Each group's
     sets are stored in a prefix tree, in the global order, and every set of the
-    group walks the tree: overlaps with shared beginnings are counted once,
-    subtrees are left when the lengths that remain cannot bring enough overlap,
+    group walks the tree: overlaps with shared beginnings are counted once, those
+    of all sets that go on alone from one place together, subtrees are left when the lengths that remain cannot bring enough overlap,
     and when they hold nothing that is not in the walker's component already.
 4.  Groups of more than GROUP_SETS sets are split.  All sets are compared with
     one of them; by the triangle inequality of Jaccard distances a set that is
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import LOWER, hash_runs, mix, text_batches, utf8, windows, words
+from tidemark.llm._bytes import LOWER, hash_runs, mix, ragged, text_batches, utf8, windows, words
 from tidemark.llm.components import components
 from tidemark.session import written
 
@@ -60,6 +60,8 @@ COMBINED_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 SHARED, SMALL_BLOCK = 3, 16
 #: Bytes of a table that may be broadcast, and parts into which rows of one key are dealt beyond.
 BROADCAST_BYTES, SALTS = 24 << 20, 32
+#: Bytes of bit maps that a tree may hold.
+MAP_BYTES = 16 << 20
 #: Words are stretches of bytes that are no ASCII white space.
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -140,17 +142,38 @@ class Tree:
         self.sets = [sets[k] for k in self.order]
         self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
         self.members = len(names)
-        # node: (first set, end, first member, end member, children)
-        self.nodes: list[tuple[int, int, int, int, list[int]]] = []
+        self.flat = np.concatenate([*self.sets, np.zeros(0, dtype=np.int64)])
+        self.at = np.r_[0, np.cumsum(self.sizes)]
+        #: Members of a set before its tail, the part that no other set shares in the tree.
+        self.before = self.sizes.copy()
+        # node: (first set, end, first member, end member, children, sets that go on alone below it)
+        self.nodes: list[tuple[int, int, int, int, list[int], list[int]]] = []
         self.bounds: list[tuple[int, int]] = []
-        self.roots = self._build(0, len(sets), 0)
-
-    def _build(self, first: int, end: int, depth: int) -> list[int]:
-        """Nodes of the sets first..end that agree in their first `depth` members."""
+        self.roots, self.alone = self._build(0, len(sets), 0)
+        self.maps = self._bits()
+
+    def _bits(self) -> np.ndarray | None:
+        """A bit map of each set's tail over the members that several sets have, if all of them are small."""
+        shared = np.bincount(self.flat, minlength=self.members) > 1
+        self.shared = np.flatnonzero(shared)
+        lanes = len(self.shared) // 64 + 1
+        if 8 * lanes * len(self.sets) > MAP_BYTES:
+            return None
+        column = np.cumsum(shared) - 1
+        lengths = self.sizes - self.before
+        row, member = np.repeat(np.arange(len(self.sets)), lengths), self.flat[ragged(self.at[:-1] + self.before, lengths)]
+        row, own = row[shared[member]], column[member[shared[member]]]
+        bits = np.zeros((len(self.sets), 64 * lanes), dtype=bool)
+        bits[row, own] = True
+        return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+    def _build(self, first: int, end: int, depth: int) -> tuple[list[int], list[int]]:
+        """Nodes of the sets first..end that agree in their first `depth` members, and those of them that share no more with another."""
         made: list[int] = []
-        top: list[tuple[int, int, int, list[int]]] = [(first, end, depth, made)]
+        single: list[int] = []
+        top: list[tuple[int, int, int, list[int], list[int]]] = [(first, end, depth, made, single)]
         while top:
-            a, b, d, into = top.pop()
+            a, b, d, into, alone = top.pop()
             while a < b and len(self.sets[a]) == d:  # sets that end here have been counted by their parent
                 a += 1
             while a < b:
@@ -158,18 +181,45 @@ class Tree:
                 to = a + 1
                 while to < b and self.sets[to][d] == head:
                     to += 1
+                if to - a == 1:
+                    alone.append(a)
+                    self.before[a] = d
+                    a = to
+                    continue
                 x, y = self.sets[a], self.sets[to - 1]
                 m = min(len(x), len(y), int(self.sizes[a:to].min()))
                 differ = np.flatnonzero(x[d:m] != y[d:m])
                 stop = d + int(differ[0]) if len(differ) else m
                 children: list[int] = []
+                below: list[int] = []
                 into.append(len(self.nodes))
-                self.nodes.append((a, to, d, stop, children))
+                self.nodes.append((a, to, d, stop, children, below))
                 self.bounds.append((int(self.sizes[a:to].min()), int(self.sizes[a:to].max())))
-                if to - a > 1:
-                    top.append((a, to, stop, children))
+                top.append((a, to, stop, children, below))
                 a = to
-        return made
+        return made, single
+
+    def _tails(self, walker: int, mark: np.ndarray, label: np.ndarray, alone: list[int], overlap: int, after: bool, others: np.ndarray | None) -> Iterator[int]:
+        """Sets linked with set `walker` among those that go on alone from one place of the tree, where the overlap is known; all tails are counted together."""
+        own = np.array(alone, dtype=np.int64)
+        own = own[(own > walker if after else own != walker) & (label[own] != label[walker])]
+        if others is not None:
+            own = own[others[own]]
+        size, sizes = self.sizes[walker], self.sizes[own]
+        least, tail = needed(size, sizes), sizes - self.before[own]
+        fits = (OF * np.minimum(size, sizes) >= NEED * np.maximum(size, sizes)) & (overlap + np.minimum(tail, size - overlap) >= least)
+        own, least, tail = own[fits], least[fits], tail[fits]
+        if not len(own):
+            return
+        if self.maps is not None:
+            lanes = np.zeros(64 * self.maps.shape[1], dtype=bool)
+            lanes[: len(self.shared)] = mark[self.shared]
+            common = np.bitwise_count(self.maps[own] & np.packbits(lanes, bitorder="little").view("<u8")).sum(axis=1, dtype=np.int64)
+        else:
+            common = np.add.reduceat(mark[self.flat[ragged(self.at[own] + self.before[own], tail)]], np.cumsum(tail) - tail, dtype=np.int64)
+        for s in own[overlap + common >= least].tolist():
+            if label[s] != label[walker]:
+                yield s
 
     def links(self, walker: int, label: np.ndarray, after: bool = True, others: np.ndarray | None = None) -> Iterator[int]:
         """Sets linked with set `walker`, each of another label at the time it is found; the caller may change labels meanwhile."""
@@ -177,10 +227,11 @@ class Tree:
         size = len(mine)
         mark = np.zeros(self.members, dtype=bool)
         mark[mine] = True
+        yield from self._tails(walker, mark, label, self.alone, 0, after, others)
         stack = [(k, 0) for k in self.roots]
         while stack:
             k, overlap = stack.pop()
-            a, b, d, stop, children = self.nodes[k]
+            a, b, d, stop, children, alone = self.nodes[k]
             if after and b - 1 <= walker:
                 continue
             low, high = self.bounds[k]
@@ -199,6 +250,8 @@ class Tree:
                 if s != walker and label[s] != label[walker] and overlap >= needed(size, stop) and (others is None or others[s]):
                     yield s
                 s += 1
+            if alone:
+                yield from self._tails(walker, mark, label, alone, overlap, after, others)
             stack += [(c, overlap) for c in children]
 
 
