@@ -9,6 +9,9 @@ passages have equal anchors wherever they stand, and an edit changes only the
 k-mers that it touches.  A fingerprint is all anchors with their positions: about
 a quarter of the units, and none is dropped.  Two texts are as alike as the
 share of their anchors that match, position by position.
+
+An edited text has the beginning of its original; up to the last white space
+there units, and k-mers inside, are those of the original and are taken from it.
 """
 
 from __future__ import annotations
@@ -35,27 +38,66 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?=(\S{4}|(?<!\S)\S{1,3}(?!\S)))\S"), F.lit(1))
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(units(text), lambda u: F.xxhash64(u))
+
+
+def _chosen(h: Column, k: int, before: Column | None = None) -> Column:
+    """The closed syncmers of hashes of units; `before` units stand before the first one."""
+
+    def one(first: Column, i: Column) -> Column:
+        at = [first, *(F.get(h, i + F.lit(d)) for d in range(1, k))]
+        # an edge is compared until a smaller hash turns up, after two or three units as a rule; beyond the end all is null
+        left = reduce(lambda x, y: x & y, (at[0] <= u for u in at[1:]))
+        right = reduce(lambda x, y: x & y, (at[-1] <= u for u in at[-2::-1]))
+        return F.when(left | right, F.struct((i if before is None else i + before).alias("position"), F.xxhash64(*at).alias("hash")))
+
+    return F.filter(F.transform(h, one), lambda x: x.isNotNull())
+
+
+def _or_short(many: Column, h: Column, n: Column, k: int) -> Column:
+    """many for n units, k at least; else one anchor of all hashes h, or none."""
+    short = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
+    none = F.array().cast("array<struct<position:int,hash:bigint>>")
+    return F.when(n >= k, many).when(n > 0, short).otherwise(none)
+
+
 def anchors(text: Column, k: int = K) -> Column:
     """The closed syncmers of a text: array of (position in units, hash).
 
     A text of fewer units than k but not none is one anchor; null, empty and
     blank texts have none.
     """
+    return _let(_hashes(text), lambda h: _or_short(_chosen(h, k), h, F.size(h), k))
+
+
+def head(text: Column, n: Column) -> Column:
+    """The first n characters of a text as far as their last white space, with it: no unit lies across its end."""
+    return F.regexp_extract(F.substring(text, F.lit(1), n), r"(?s)^(.*\s)", 1)
+
+
+def anchors_in_parts(first: Column, rest: Column, k: int = K) -> Column:
+    """What anchors() has for a text from its head() and its rest, with what other_rest() needs: (anchors, units of the head, hashes of its last k - 1)."""
+
+    def joined(a: Column, b: Column) -> Column:
+        def made(last: Column, end: Column) -> Column:
+            many = F.concat(_chosen(a, k), _chosen(end, k, F.size(a) - F.size(last)))
+            return F.struct(_or_short(many, end, F.size(a) + F.size(b), k).alias("anchors"), F.size(a).alias("units"), last.alias("last"))
+
+        return _let(F.slice(a, F.greatest(F.size(a) - (k - 2), F.lit(1)), F.lit(k - 1)), lambda last: _let(F.concat(last, b), lambda end: made(last, end)))
+
+    return _let(_hashes(first), lambda a: _let(_hashes(rest), lambda b: joined(a, b)))
+
 
-    def chosen(h: Column) -> Column:
-        def one(first: Column, i: Column) -> Column:
-            at = [first, *(F.get(h, i + F.lit(d)) for d in range(1, k))]
-            # an edge is compared until a smaller hash turns up, after two or three units as a rule; beyond the end all is null
-            left = reduce(lambda x, y: x & y, (at[0] <= u for u in at[1:]))
-            right = reduce(lambda x, y: x & y, (at[-1] <= u for u in at[-2::-1]))
-            return F.when(left | right, F.struct(i.alias("position"), F.xxhash64(*at).alias("hash")))
+def other_rest(parts: Column, rest: Column, k: int = K) -> Column:
+    """What anchors() has for the text with the same head() and another rest: k-mers inside the head are not made again."""
 
-        many = F.filter(F.transform(h, one), lambda x: x.isNotNull())
-        short = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
-        none = F.array().cast("array<struct<position:int,hash:bigint>>")
-        return F.when(F.size(h) >= k, many).when(F.size(h) > 0, short).otherwise(none)
+    def made(end: Column) -> Column:
+        before = parts["units"] - F.size(parts["last"])
+        many = F.concat(F.filter(parts["anchors"], lambda x: x["position"] <= parts["units"] - k), _chosen(end, k, before))
+        return _or_short(many, end, before + F.size(end), k)
 
-    return _let(F.transform(units(text), lambda u: F.xxhash64(u)), chosen)
+    return _let(F.concat(parts["last"], _hashes(rest)), made)
 
 
 def fingerprint(found: Column) -> Column:
@@ -183,12 +225,15 @@ def fingerprints_of_edits(df: DataFrame, key: str = "doc_id", text: str = "text"
     length are taken whole.
     """
     own = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = with_next(own, "key", ["text"], {"anchors": anchors(F.col("text"))})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
+    kept = head(F.col("text"), n - third)
+    parts = _let(kept, lambda first: anchors_in_parts(first, F.substring(F.col("text"), F.char_length(first) + 1, n)))
+    both = with_next(own, "key", ["text"], {"parts": parts})
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), third))
-    out = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
-    out = out.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors", anchors(F.col("edited")).alias("edited_anchors"))
+    out = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), F.char_length(kept).alias("head"), "parts", F.col("next_parts")["anchors"].alias("next_anchors"))
+    changed = other_rest(F.col("parts"), F.substring(F.col("edited"), F.col("head") + 1, F.char_length("edited")))
+    out = out.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("parts")["anchors"].alias("anchors"), "next_anchors", changed.alias("edited_anchors"))
     a, b, c = F.col("anchors"), F.col("edited_anchors"), F.col("next_anchors")
     out = out.select("key", "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), both_sides(a, b).alias("with_edited"), both_sides(a, c).alias("with_next"))
     return out.select("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("with_edited")).alias("near_edited"), likeness(F.col("with_next")).alias("near_next"))
