@@ -97,8 +97,9 @@ def search_like(channels: dict[str, tuple[DataFrame, str]], key: str, vector: st
 
     channels: name -> (table of key and vector, "cosine" or "crossent").  Three
     seeds or more weigh channels by loo_quality, two by coherence, one equally;
-    weights are (quality / best) ** power.  The cut holds each seed out in turn;
-    all of these are scored together and ranked in one aggregate.
+    weights are (quality / best) ** power, equal ones if the best is 0.  The cut
+    holds each seed out in turn; all of these are scored together and ranked in
+    one aggregate.
     """
     if len(seeds) >= 3:
         quality = {c: loo_quality(df, key, vector, seeds, op) for c, (df, op) in channels.items()}
